@@ -26,8 +26,12 @@ POSITIVES = 8_000
 UNLABELLED = 12_000
 CUT = 0.7
 FOLDS, HELD = 3, 1
-#: A feature must occur in so many of the sampled documents.
-LEAST_DOCS = 5
+#: A feature must occur in this share of the sampled documents, and in LEAST_DOCS of them.
+LEAST_SHARE, LEAST_DOCS = 0.002, 3
+#: A feature's share among positives must exceed that among unlabelled texts by so many standard errors.
+DEVIATION = 4.0
+#: Weight of the squared weights in the risk.
+DECAY = 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,7 +80,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-5, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 150, rate: float = 0.1, decay: float = DECAY, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Adam on the corrected risk with the logistic loss; returns weights and bias."""
     w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
@@ -111,11 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     pos, unl = ([rows[i] for i in ids if i in rows] for ids in (pos_ids, dict.fromkeys(unl_ids)))
     if not pos or not unl:
         return None
-    often = np.bincount(np.concatenate([*pos, *unl]), minlength=DIMS) >= LEAST_DOCS
-    names = np.flatnonzero(often)
+    pos, unl = ([*{r.tobytes(): r for r in rows}.values()] for rows in (pos, unl))  # copies count once
+    n_pos, n_unl = (np.bincount(np.concatenate(rows), minlength=DIMS) for rows in (pos, unl))
+    often = n_pos + n_unl >= max(LEAST_DOCS, LEAST_SHARE * (len(pos) + len(unl)))
+    p, q, both = n_pos / len(pos), n_unl / len(unl), (n_pos + n_unl) / (len(pos) + len(unl))
+    apart = p - q >= DEVIATION * np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / len(unl)))
+    names = np.flatnonzero(often & apart)
     place = np.full(DIMS, -1)
     place[names] = np.arange(len(names))
-    cut = lambda group: Sparse([p[p >= 0] for p in (place[r] for r in group)])
+    cut = lambda group: Sparse([x[x >= 0] for x in (place[r] for r in group)])
     w, b = nnpu(cut(pos), cut(unl), len(names), prior)
     full = np.zeros(DIMS, np.float32)
     full[names] = w
