@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, sharding, toxicity
+from . import bpe, packing, pii, quality, sharding, toxicity
 from .common import read_table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_quality_rules, op8_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_quality_rules, op8_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
