@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, sharding, toxicity
+from . import bpe, packing, pii, quality, sharding, substr, toxicity
 from .common import read_table
 
 
@@ -31,12 +31,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_quality_rules, op8_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_quality_rules, op8_toxicity, op9_substring_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
