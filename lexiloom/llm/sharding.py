@@ -83,13 +83,15 @@ def with_slots(sharded: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    out = with_slots(shard_rows(docs, **options))
-    return out.select(
+    out = shard_rows(docs, **options)
+    facts = out.select(
         "doc_id",
         (F.octet_length(text_of(out)) + 8).cast("long").alias("size"),
         F.crc32(text_of(out).cast("binary")).alias("text_crc32"),
         F.lit(LAW).alias("law"),
         "shard",
-        "slot",
+        "bucket",
+        "place",
         "grown_shard",
     )
+    return with_slots(facts).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
