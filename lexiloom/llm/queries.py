@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, pii, quality, secret_scan, sharding, substr, toxicity
+from . import bpe, media, minhash, packing, pii, quality, secret_scan, sharding, substr, toxicity
 from .common import read_table
 
 
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_quality_rules, op6_secret_scan, op7_minhash, op8_toxicity, op9_substring_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_quality_rules, op5_media, op6_secret_scan, op7_minhash, op8_toxicity, op9_substring_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
