@@ -73,10 +73,15 @@ def normalise_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
-@F.pandas_udf("struct<norm string, places array<int>>")
-def normalise(text: pd.Series) -> pd.DataFrame:
-    got = [normalise_with_map(t or "") for t in text]
-    return pd.DataFrame({"norm": [g[0] for g in got], "places": [g[1] for g in got]})
+def normalise_udf():
+    """normalise_with_map as a Column function; made on call, as workers import this module without a session."""
+
+    @F.pandas_udf("struct<norm string, places array<int>>")
+    def normalise(text: pd.Series) -> pd.DataFrame:
+        got = [normalise_with_map(t or "") for t in text]
+        return pd.DataFrame({"norm": [g[0] for g in got], "places": [g[1] for g in got]})
+
+    return normalise
 
 
 def strip_tags_with_map(text: str) -> tuple[str, list[int]]:

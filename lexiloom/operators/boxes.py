@@ -128,13 +128,17 @@ def line_top(rows: DataFrame, by: list[str], top: str, corr: str) -> DataFrame:
     return quantile_lower(ranked.where(F.col("_k") >= F.floor(F.col("_n") / 2)), by, top, 0.5)
 
 
-def interpolate_top(rows: DataFrame, by: str, x: str, top: str, corr: str, least: float = 60) -> DataFrame:
-    """For each row the mean top of the line's reliable rows, weighted by corr/100 and min(1, 10/dx²); null without any."""
-    good = rows.where(F.col(corr) > least).select(F.col(by).alias("_by"), F.col(x).alias("_x"), F.col(top).alias("_top"), F.col(corr).alias("_c"))
+def interpolate_spots(spots: DataFrame, good: DataFrame, by: str, x: str) -> DataFrame:
+    """For each spot the mean _top of its line's reliable boxes (_by, _x, _top, _c), weighted by _c/100 and min(1, 10/dx²)."""
     dx2 = F.pow(F.col(x) - F.col("_x"), 2)
     w = F.col("_c") / 100 * F.when(dx2 <= 10, 1.0).otherwise(F.lit(10.0) / dx2)
-    keys = [c for c in rows.columns]
-    return rows.join(good, F.col(by) == F.col("_by"), "left").groupBy(*keys).agg((F.sum(w * F.col("_top")) / F.sum(w)).alias("top_i"))
+    return spots.join(good, F.col(by) == F.col("_by"), "left").groupBy(by, x).agg((F.sum(w * F.col("_top")) / F.sum(w)).alias("top_i"))
+
+
+def interpolate_top(rows: DataFrame, by: str, x: str, top: str, corr: str, least: float = 60) -> DataFrame:
+    """Rows of corr up to least, and the others, with the interpolated top of their line; null without a reliable box."""
+    good = rows.where(F.col(corr) > least).select(F.col(by).alias("_by"), F.col(x).alias("_x"), F.col(top).alias("_top"), F.col(corr).alias("_c"))
+    return interpolate_spots(rows.select(by, x).distinct(), good, by, x)
 
 
 def toggle_style(rows: DataFrame, by: list[str], selected: Column, style: str, bit: int) -> DataFrame:

@@ -19,9 +19,10 @@ def characters(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
 
 def adjacent_in_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """l, r of neighbouring characters, without a shuffle: pairs are cut from the text they stand in."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2)))
-    found = docs.where(F.length(text) > 1).select(F.explode(pairs).alias("p"))
-    return found.select(F.substring("p", 1, 1).alias("l"), F.substring("p", 2, 1).alias("r"))
+    chars = docs.select(F.split(text, "").alias("c"))
+    n = F.size("c") - 1
+    both = chars.select(F.arrays_zip(F.slice("c", F.lit(1), n).alias("l"), F.slice("c", F.lit(2), n).alias("r")).alias("p"))
+    return both.select(F.explode("p").alias("p")).select(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
 
 
 def bigrams(pairs: DataFrame, skip: str = " ", cross: str = "\n") -> DataFrame:
