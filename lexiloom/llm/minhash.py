@@ -6,10 +6,12 @@ points above the weight are thinned out. A register keeps the earliest point ove
 documents agree with the probability of their weighted Jaccard similarity. Points are made in rounds, for all shingles
 of a block of documents at once, until no shingle's next point can still change a register.
 
-Equal word sequences are one text from the start. Bands of ROWS registers make buckets; in a bucket every text is a
-candidate with the least text; those that fail the exact test against it form the bucket anew, until none is left with
-another. So a bucket costs as many tests as it has texts, not their square. Classes are the connected components of the
-verified links, by minimum labels with pointer jumping over DataFrames.
+Equal word sequences are one text from the start. Bands of ROWS registers make buckets. First every text of a bucket is
+tested exactly against the bucket's least one. Links unite classes, and a bucket of one class is done; in the others, blocks of
+at most GROUP texts meet in pairs, one task computes all overlaps of a pair of blocks as one matrix product, and only the
+links that unite classes leave it. So every pair that shares a bucket is tested or already in one class, and no task
+or table holds the pairs of a group. Classes are the connected components of the verified links, by minimum labels with
+pointer jumping over DataFrames.
 
 Defined results: null text is empty; documents without words are copies of each other; a text under SHINGLE words is one
 shingle; a null doc_id takes part in no class but its own, of null class_id; repeated rows share a class; an empty table
@@ -29,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 30, 8
 REGISTERS = BANDS * ROWS
 #: Shingles of a block of documents that is signed at once.
 BLOCK = 200_000
+#: Texts of a bucket in a block.
+GROUP = 500
 #: Bits of the filter that keeps texts without candidates out of the joins.
 FILTER_BITS = 1 << 26
 
@@ -174,22 +178,66 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, ok boolean")
 
 
+def all_overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs; the k-th occurrence of a shingle is an element of its own."""
+    n = len(bags)
+    sizes = np.array([int(b[1].sum()) for b in bags], np.float64)
+    shingle = np.concatenate([np.repeat(*b) for b in bags])
+    nth = np.concatenate([np.arange(c) for b in bags for c in b[1].tolist()] or [np.zeros(0, np.int64)]).astype(np.uint64)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    _, element = np.unique(_mix(shingle + nth * _A), return_inverse=True)
+    common, step = np.zeros((n, n)), 1 << 14
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    for low in range(0, int(element.max(initial=-1)) + 1, step):
+        x, y = np.searchsorted(element, [low, low + step])
+        m = np.zeros((n, step), np.float32)
+        m[owner[x:y], element[x:y] - low] = 1
+        common += m @ m.T
+    both = sizes[:, None] + sizes[None, :] - common
+    return np.divide(common, both, out=np.ones_like(common), where=both > 0)
+
+
+def _uniting(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Of a pair of blocks, links between texts of different classes, no more than unite them."""
+    group = group.drop_duplicates("id").sort_values("id")
+    ids, classes = group["id"].tolist(), group["class"].tolist()
+    root = {c: c for c in classes}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    if len(root) > 1:
+        like = all_overlaps([shingles(t) for t in group["text"]])
+        for i, j in zip(*np.nonzero(np.triu(like >= similarity, 1)), strict=True):
+            x, y = find(classes[i]), find(classes[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def links(docs: DataFrame, buckets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a < b) from bucket rows (band, hash, id)."""
-    found = texts = None
-    while True:
-        heads = buckets.groupBy("band", "hash").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        members = written(buckets.join(heads, ["band", "hash"]).where("id > a"), "near-members")
-        pairs = members.select("a", F.col("id").alias("b")).distinct()
-        if texts is None:  # later rounds only have documents of the first
-            ids = members.select("a").union(members.select("id")).withColumnRenamed("a", "id").distinct()
-            texts = written(_texts(docs, ids), "near-texts")
-        tested = written(verified(pairs, texts, similarity), "near-tested")
-        found = tested.where("ok").drop("ok") if found is None else found.unionByName(tested.where("ok").drop("ok"))
-        failed = tested.where("not ok").select("a", F.col("b").alias("id"))
-        if failed.isEmpty():
-            return found.distinct()
-        buckets = written(members.join(failed, ["a", "id"], "left_semi").select("band", "hash", "id"), "near-buckets")
+    """a, b: verified links between texts, enough to unite their classes, from bucket rows (band, hash, id)."""
+    heads = buckets.groupBy("band", "hash").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = written(buckets.join(heads, ["band", "hash"]), "near-members")
+    texts = written(_texts(docs, members.select("id").distinct()), "near-texts")
+    pairs = members.where("id > a").select("a", F.col("id").alias("b")).distinct()
+    first = written(verified(pairs, texts, similarity), "near-tested").where("ok").select("a", "b")
+    labels = components(first)
+    rows = members.select("band", "hash", "id").join(labels, "id", "left").select("band", "hash", "id", F.coalesce("label", "id").alias("class"))
+    rows = written(rows, "near-rows")
+    open_ = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    rest = rows.join(open_.select("band", "hash", blocks.alias("blocks")), ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "class").join(texts, "id")
+    more = rest.groupBy("band", "hash", "i", "j").applyInPandas(lambda g: _uniting(g, similarity), "a long, b long")
+    return first.unionByName(written(more, "near-united"))
 
 
 def components(edges: DataFrame) -> DataFrame:
