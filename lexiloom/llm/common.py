@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows in an Arrow batch: texts may be long, and a batch lies in memory whole.
+BATCH_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Sets what the operators need of a session: small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
