@@ -18,12 +18,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,7 @@ class Merger:
             return _let(F.array_position(ranks, best).cast("int"), at)
 
         def step(state: Column, _: Column) -> Column:
-            best = F.coalesce(F.array_min(state["ranks"]), F.lit(_NONE))
-            return _let(best, lambda b: F.when(b == _NONE, state).otherwise(merge(state, b)))
+            return _let(F.array_min(state["ranks"]), lambda b: F.when(b < _NONE, merge(state, b)).otherwise(state))
 
         folded = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["ids"])
         return F.when(n > 1, folded).otherwise(F.transform(raw, lambda b: F.get(self.of_byte, b)))
@@ -134,19 +135,18 @@ def bytes_of(word: Column) -> Column:
 def count_words(docs: DataFrame) -> DataFrame:
     """word and n over all texts; each task adds up before anything is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = Finder(WORDS), Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column(0).to_pylist():
                 seen.update(find(text or ""))
             if len(seen) > 200_000:
-                yield pd.DataFrame({"word": seen.keys(), "n": seen.values()})
+                yield out()
                 seen = Counter()
-        yield pd.DataFrame({"word": [*seen.keys()], "n": [*seen.values()]})
+        yield out()
 
-    return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, kept: int = KEPT) -> DataFrame:
@@ -162,11 +162,20 @@ def frequent(counts: DataFrame, kept: int = KEPT) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
-def fold_table(docs: DataFrame, path: str, kept: int = KEPT) -> dict[str, bytes]:
-    """Ids of the most frequent words, by the fold, as little-endian unsigned 32-bit integers."""
+def fold_table(docs: DataFrame, path: str, kept: int = KEPT) -> pa.Table:
+    """word and ids of the most frequent words, by the fold."""
     counts = written(count_words(docs).where(F.length("word") <= KEPT_CHARS), "bpe-words")
-    folded = frequent(counts, kept).select("word", Merger(path)(bytes_of(F.col("word"))).alias("ids")).toPandas()
-    return {w: ids.astype("<u4").tobytes() for w, ids in zip(folded["word"], map(np.asarray, folded["ids"]), strict=True)}
+    return frequent(counts, kept).select("word", _let(bytes_of(F.col("word")), Merger(path)).alias("ids")).toArrow()
+
+
+def _as_dict(table: pa.Table) -> dict[str, bytes]:
+    table = table.combine_chunks()
+    if not table.num_rows:
+        return {}
+    ids = table["ids"].chunk(0)
+    raw = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    at = [4 * x for x in ids.offsets.to_pylist()]
+    return {w: raw[a:b] for w, a, b in zip(table["word"].to_pylist(), at, at[1:], strict=False)}
 
 
 class _Table(dict):
@@ -200,7 +209,7 @@ def encode(docs: DataFrame, path: str | None = None, kept: int = KEPT, finish: s
     known, table = sc.broadcast(fold_table(docs, path, kept)), sc.broadcast(pieces(path))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, words = Finder(WORDS), _Table(known.value)
+        find, words = Finder(WORDS), _Table(_as_dict(known.value))
         keys, parts, size = [], [], 0
 
         def block() -> pd.DataFrame:
