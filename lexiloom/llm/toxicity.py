@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are the documents confirmed toxic, the rest of the training text counts as unlabelled. With class prior p, the
-risk of a linear scorer over hashed word features is p*R+(positives) + max(0, R-(unlabelled) - p*R-(positives)); when
+risk of a linear scorer over hashed features (words and their beginnings) is p*R+(positives) + max(0, R-(unlabelled) - p*R-(positives)); when
 the second part turns negative, the step goes up it instead (the non-negative correction). Training runs in numpy on
 the driver, on samples bounded by POSITIVES and UNLABELLED documents, chosen by the smallest seeded hash of doc_id.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out: neither their labels nor their texts are learned from.
@@ -21,7 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 1 << 18
+DIMS = 1 << 20
+#: Lengths of word beginnings that are features beside the words; they stand for stems that inflected words share.
+STEMS = (4, 5, 6)
 POSITIVES = 8_000
 UNLABELLED = 12_000
 CUT = 0.7
@@ -40,9 +42,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(text: str | None) -> np.ndarray:
-    """The distinct hashed words of a text."""
+    """The distinct hashed words and word beginnings of a text."""
     words = set(_WORD.findall((text or "").lower()))
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint32, len(words)) & np.uint32(DIMS - 1))
+    names = [w.encode("utf-8", "replace") for w in words]
+    for n in STEMS:
+        names += [b"^" + x.encode("utf-8", "replace") for x in {w[:n] for w in words if len(w) > n}]
+    return np.unique(np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) & np.uint32(DIMS - 1))
 
 
 def _rows(docs: DataFrame, ids: list[int]) -> dict[int, np.ndarray]:
@@ -80,7 +85,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 150, rate: float = 0.1, decay: float = DECAY, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = DECAY, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Adam on the corrected risk with the logistic loss; returns weights and bias."""
     w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
