@@ -248,3 +248,70 @@ def eliminate_overlaps(rows: DataFrame, by: list[str], order: str, bands: tuple
         return g.iloc[keep]
 
     return rows.groupBy(*by).applyInPandas(run, rows.schema)
+
+
+def relocate(rows: DataFrame, glyphs: DataFrame, selected: Column, x: int, y: int, key: list[str]) -> DataFrame:
+    """Selected boxes move to a centre, with their glyph's size if the font (bounded) has it, and are marked as helped."""
+    sized = rows.join(F.broadcast(glyphs.select(*key, F.col("w").alias("_w"), F.col("h").alias("_h"))), key, "left")
+    w, h = F.coalesce("_w", F.col("r") - F.col("l")), F.coalesce("_h", F.col("b") - F.col("t"))
+    left, top = F.lit(x) - F.floor(w / 2), F.lit(y) - F.floor(h / 2)
+    new = {"l": left, "t": top, "r": left + w, "b": top + h}
+    moved = sized.withColumns({f"_{c}": F.when(selected, v).otherwise(F.col(c)).cast("long") for c, v in new.items()} | {"helped": selected})
+    return moved.drop(*new, "_w", "_h").withColumnsRenamed({f"_{c}": c for c in new})
+
+
+def paste_after(rows: DataFrame, new: DataFrame, by: list[str], order: str, after: Column) -> DataFrame:
+    """New rows (without order) stand after the first row for which after holds; the order counts anew from 1."""
+    place = rows.where(after).groupBy(*by).agg(F.min(order).alias("_at"))
+    put = new.join(place, by).withColumn("_k", F.lit(1)).withColumn(order, F.col("_at")).drop("_at")
+    both = rows.withColumn("_k", F.lit(0)).unionByName(put)
+    w = Window.partitionBy(*by).orderBy(order, "_k")
+    return both.withColumn("_n", F.row_number().over(w)).withColumn(order, F.col("_n").cast(rows.schema[order].dataType)).drop("_n", "_k")
+
+
+def agreement(left: DataFrame, right: DataFrame, by: list[str], order: str, symbol: str) -> DataFrame:
+    """by and n: how many leading symbols of both sequences agree; order counts from 1 without gaps."""
+    r = right.select(*by, order, F.col(symbol).alias("_s"))
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    same = left.join(r, [*by, order], "left").withColumn("_ok", F.bool_and(F.coalesce(F.col(symbol) == F.col("_s"), F.lit(False))).over(w))
+    return same.groupBy(*by).agg(F.count_if("_ok").alias("n"))
+
+
+def resync(old: DataFrame, new: DataFrame, order: str, key: list[str]) -> DataFrame:
+    """For each new row the first old row, at or after its place, with equal key columns; null without one."""
+    o = old.select(F.col(order).alias("_o"), *[F.col(k).alias(f"_{k}") for k in key])
+    on = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("_o") >= F.col(order)]
+    return new.join(o, on, "left").groupBy(order, *key).agg(F.min("_o").alias("old_no"))
+
+
+def unnest_styles(chars: list[tuple[str, int]], tags: dict[int, str]) -> str:
+    """Characters with style bits as properly nested tags: to close one, those inside close and open again."""
+    out, stack = [], []
+    for c, style in [*chars, ("", 0)]:
+        while any(not style & b for b in stack):
+            out.append(f"</{tags[stack.pop()]}>")
+        for b in tags:
+            if style & b and b not in stack:
+                stack.append(b)
+                out.append(f"<{tags[b]}>")
+        out.append(c)
+    return "".join(out)
+
+
+def styled_text(rows: DataFrame, by: str, order: str, tags: dict[int, str]) -> DataFrame:
+    """by and markup, from boxes with chr and style; one page's boxes meet in a task."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(order)
+        chars = [("\n" if c == NEWLINE else c, int(s)) for c, s in zip(g["chr"], g["style"], strict=True)]
+        return pd.DataFrame({by: [g[by].iloc[0]], "markup": [unnest_styles(chars, tags)]})
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, markup string")
+
+
+def export_lines(rows: DataFrame, page: str = "page_no") -> DataFrame:
+    """Text and bounding box of every line, the last one too."""
+    lined = line_ids(rows, [page], "box_no", F.col("chr") == NEWLINE).where(F.col("chr") != NEWLINE)
+    items = F.array_sort(F.collect_list(F.struct("box_no", "chr")))
+    solid = lambda c: F.when(F.col("chr") != SPACE, F.col(c))
+    return lined.groupBy(page, "line_no").agg(F.array_join(F.transform(items, lambda i: i["chr"]), "").alias("text"), F.min(solid("l")).alias("l"), F.max(solid("r")).alias("r"), F.min(solid("t")).alias("t"), F.max(solid("b")).alias("b"))
