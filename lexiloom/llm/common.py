@@ -31,8 +31,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexiloom-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
