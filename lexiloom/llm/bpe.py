@@ -190,36 +190,69 @@ class _Table(dict):
         self.others.append(word)
         return mark
 
-    def drain(self) -> list[list[int]]:
-        out = [list(w.encode("utf-8", "replace")) for w in self.others]
+    def drain(self) -> pa.ListArray:
+        """The other words' bytes, one list for each word, and a fresh start."""
+        raw = [w.encode("utf-8", "replace") for w in self.others]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]).astype(np.int32)
         for w in self.others:
             del self[w]
         self.others = []
-        return out
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _joined(keys: list, parts: list[bytes], sizes: np.ndarray, flat: np.ndarray, table: list[bytes], finish: str) -> pa.RecordBatch:
+    """The rows of a block: marks give way to the ids of the words that they stand for (flat, of these sizes)."""
+    starts = np.cumsum(sizes) - sizes
+    counts, ids_of, hashes = [], [], []
+    for part in parts:
+        ids = np.frombuffer(part, "<u4")
+        marked = ids >= 0x80000000
+        if marked.any():
+            which = (ids[marked] & 0x7FFFFFFF).astype(np.int64)
+            own = sizes[which]
+            repeat = np.ones(len(ids), np.int64)
+            repeat[marked] = own
+            out = np.repeat(ids, repeat)
+            first = (np.cumsum(repeat) - repeat)[marked]
+            step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            out[np.repeat(first, own) + step] = flat[np.repeat(starts[which], own) + step]
+            part = out.astype("<u4").tobytes()
+        counts.append(len(part) // 4)
+        if finish == "digest":
+            ids_of.append(hashlib.sha256(part).hexdigest())
+            hashes.append(hashlib.sha256(decode_ids(part, table)).hexdigest())
+        else:
+            ids_of.append(part)
+    columns = {"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(counts, pa.int64())}
+    if finish == "digest":
+        columns |= {"ids_sha256": pa.array(ids_of, pa.string()), "decoded_sha256": pa.array(hashes, pa.string())}
+    else:
+        columns["ids"] = pa.array(ids_of, pa.binary())
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
 def encode(docs: DataFrame, path: str | None = None, kept: int = KEPT, finish: str = "ids") -> DataFrame:
     """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit); with finish="digest" the hashes of ids and of the decoded bytes."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     sc = docs.sparkSession.sparkContext
     known, table = sc.broadcast(fold_table(docs, path, kept)), sc.broadcast(pieces(path))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, words = Finder(WORDS), _Table(_as_dict(known.value))
         keys, parts, size = [], [], 0
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-        def block() -> pd.DataFrame:
-            return pd.DataFrame({"keys": [keys], "parts": [parts], "others": [words.drain()]})
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([one(pa.array(keys, pa.int64())), one(pa.array(parts, pa.binary())), one(words.drain())], ["keys", "parts", "others"])
 
         for batch in batches:
-            for key, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                found = find(text or "")
-                keys.append(None if key is pd.NA else int(key))
-                parts.append(b"".join(map(words.__getitem__, found)))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                parts.append(b"".join(map(words.__getitem__, find(text or ""))))
                 size += len(text or "") + 64
                 if size >= BLOCK:
                     yield block()
@@ -227,38 +260,20 @@ def encode(docs: DataFrame, path: str | None = None, kept: int = KEPT, finish: s
         if keys:
             yield block()
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_by_id = table.value
         for batch in batches:
-            for keys, parts, others in zip(batch["keys"], batch["parts"], batch["others"], strict=True):
-                sizes = np.fromiter(map(len, others), np.int64, len(others))
-                flat = np.concatenate([*others, np.zeros(0, np.int32)]).astype(np.uint32)
-                starts = np.cumsum(sizes) - sizes
-                rows = []
-                for key, part in zip(keys, parts, strict=True):
-                    ids = np.frombuffer(part, "<u4")
-                    marked = ids >= 0x80000000
-                    if marked.any():
-                        which = (ids[marked] & 0x7FFFFFFF).astype(np.int64)
-                        repeat = np.ones(len(ids), np.int64)
-                        repeat[marked] = sizes[which]
-                        out = np.repeat(ids, repeat)
-                        first = (np.cumsum(repeat) - repeat)[marked]
-                        step = np.arange(sizes[which].sum()) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which])
-                        out[np.repeat(first, sizes[which]) + step] = flat[np.repeat(starts[which], sizes[which]) + step]
-                        ids = out
-                    raw = ids.astype("<u4").tobytes()
-                    if finish == "digest":
-                        rows.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decode_ids(raw, pieces_by_id)).hexdigest()))
-                    else:
-                        rows.append((key, len(ids), raw))
-                names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if finish == "digest" else ("ids",))]
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(split, "keys array<long>, parts array<binary>, others array<array<int>>")
+            for i in range(batch.num_rows):
+                keys, parts = (batch.column(c)[i].values.to_pylist() for c in (0, 1))
+                others = batch.column(2)[i].values
+                sizes = np.diff(others.offsets.to_numpy()).astype(np.int64)
+                flat = others.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+                yield _joined(keys, parts, sizes, flat, pieces_by_id, finish)
+
+    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "keys array<long>, parts array<binary>, others array<array<int>>")
     merger = Merger(path)
     folded = blocks.select("keys", "parts", F.transform("others", merger).alias("others"))
-    return folded.mapInPandas(join, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if finish == "digest" else "ids binary"))
+    return folded.mapInArrow(join, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if finish == "digest" else "ids binary"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
