@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 30, 8
+BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Shingles of a block of documents that is signed at once.
 BLOCK = 200_000

@@ -259,6 +259,15 @@ def _classes(rows):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
+def test_pairs_at_the_similarity_share_a_band():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**63, (3000, 100)).astype(np.uint64)  # 80 common of 100: a similarity of 0.8
+    count = lambda x: (np.sort(x), np.ones(len(x), np.int64))
+    assert minhash.overlap(count(h[0, :90]), count(h[0, 10:])) == 0.8
+    a, b = (minhash.bands(minhash.sign([count(x) for x in side])) for side in (h[:, :90], h[:, 10:]))
+    assert (a == b).any(axis=1).sum() >= 2999
+
+
 def test_near_duplicates(spark, small, texts, odd):
     got = {r["doc_id"]: r["class_id"] for r in minhash.digest(small).collect()}
     want = _classes(sorted(texts.items()))
