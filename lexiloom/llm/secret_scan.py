@@ -1,13 +1,13 @@
 """Secret scans: rules find candidates, a random forest removes the false ones. DataFrame and SQL functions only.
 
-A candidate is a white-space-delimited token with an unbroken run of LEAST or more key characters that holds a digit or
-mixes cases. Its features are length, character transitions, shares of digits, letters and hexadecimals, distinct
+A candidate is an unbroken run of LEAST or more key characters, less a name and assignment at its start; a white-space-delimited
+token may hold several, each with its own name and neighbours. Its features are length, character transitions, shares of digits, letters and hexadecimals, distinct
 characters, coverage by dictionary words, path and address marks, an assignment before it, and the neighbouring words.
 The forest is trained on labelled_findings, a seeded table of true and false findings of TRAINING rows, by Spark's own
 library; its trees then become one CASE expression, so that scoring stays in the generated code of the scan.
 
-Defined results: null text is empty and has no candidates; a token that occurs more than once in a document is one finding with
-its number of occurrences; tokens over LONGEST characters are looked at in their first unbroken run alone; repeated rows
+Defined results: null text is empty and has no candidates; a value that occurs more than once in a document is one finding with
+its number of occurrences; the features of a value over LONGEST characters are those of its first LONGEST; repeated rows
 give repeated findings; an empty table gives an empty result.
 """
 
@@ -48,24 +48,36 @@ DICTIONARY = (
 
 FEATURES = ("n", "switches", "digits", "uppers", "lowers", "hexes", "distinct", "covered", "slashes", "dots", "ats", "other", "assigned", "quoted", "near_secret", "near_hash")
 _RUN = rf"[A-Za-z0-9_+/.=@:~-]{{{LEAST},}}"
+#: What stands before a run in its token, the run, and a quote right after it.
+_PIECE = rf"""(?s)(.*?)({_RUN})(?=(["'`]?))"""
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Each document's distinct candidate tokens with the two tokens before and the one after, and how often they occur."""
+    """Each document's candidates with the two words before and the one after, once for each place."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # texts without any run of key characters stop here; the lookahead wants a digit or an inner capital in the run
+    # texts without any run of key characters stop here
     words = words.where(F.col("text").rlike(_RUN)).select("doc_id", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    fits = lambda x: (F.length(x) >= LEAST) & x.rlike(_RUN) & (x.rlike("[0-9]") | x.rlike("[a-z][A-Z]"))
+    fits = lambda x: (F.length(x) >= LEAST) & x.rlike(_RUN)
     places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: fits(F.get("w", i)))
     near = lambda i: F.struct(F.get("w", i).alias("token"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i - 2), F.lit("")).alias("before2"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"))
     found = words.select("doc_id", "text", F.transform(places, near).alias("found"))
     # outer, as a filter on found would be pushed below it and split the text once for each word
     rows = found.select("doc_id", "text", F.explode_outer("found").alias("f")).where(F.col("f").isNotNull()).select("doc_id", "text", "f.*")
-    value = F.regexp_extract(F.regexp_replace("token", r"^[A-Za-z_]{2,24}[=:]+", ""), rf"[A-Za-z0-9_+/.=@:~-]+", 0)
-    rows = rows.withColumns({"value": value, "name": F.lower(F.regexp_extract("token", r"^([A-Za-z_]{2,24})[=:]", 1))})
+    part = lambda k: F.regexp_extract_all("token", F.lit(_PIECE), F.lit(k))
+    rows = rows.withColumns({"gaps": part(1), "runs": part(2), "ends": part(3)})
+    rows = rows.select("*", F.posexplode_outer("runs").alias("k", "run"))
+    rows = rows.withColumn("lead", F.regexp_extract("run", "^([A-Za-z_]{2,24})?[=:]+", 0))
+    rows = rows.withColumns({"head": F.concat(F.get("gaps", F.col("k")), "lead"), "value": F.expr("substring(run, length(lead) + 1)")})
     rows = rows.where(F.length("value") >= LEAST)
-    return rows.select("doc_id", "value", "name", "token", "before", "before2", "after", (F.expr("locate(value, text)") - 1).alias("start"))
+    name = F.lower(F.regexp_extract("head", r"""([A-Za-z_]{2,24})["'`]*[=:(\[]+["'`]*$""", 1))
+    # a word that stands before the run in its token, without assigning it, is its neighbour
+    inner = F.coalesce(F.nullif(F.regexp_extract("head", "([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1), F.lit("")), F.get("runs", F.col("k") - 1), F.lit(""))
+    rows = rows.withColumns({"name": name, "inner": F.when(name == "", inner).otherwise("")})
+    moved = F.col("inner") != ""
+    before, before2 = F.when(moved, F.col("inner")).otherwise(F.col("before")), F.when(moved, F.col("before")).otherwise(F.col("before2"))
+    token = F.concat(F.regexp_extract("head", "[\"'`]?$", 0), "value", F.get("ends", F.col("k")))
+    return rows.select("doc_id", "value", "name", token.alias("token"), before.alias("before"), before2.alias("before2"), "after", (F.expr("locate(value, text)") - 1).alias("start"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
