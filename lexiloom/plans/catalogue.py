@@ -464,7 +464,7 @@ def interpolate_top(spark, d):
 @query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(length(substr(text, 1, i - 1)) - length(replace(substr(text, 1, i - 1), chr(10), '')) AS BIGINT) AS line_no
 FROM documents, range(1, length(text) + 1) AS t(i) WHERE length(text) < 600 AND substr(text, i, 1) <> chr(10)""")
 def line_ids(spark, d):
-    rows = stats.characters(table(spark, d, "documents").where("length(text) < 600"), ["doc_id"])
+    rows = stats.characters(table(spark, d, "documents"), ["doc_id"])
     return boxes.line_ids(rows, ["doc_id"], "i", F.col("ch") == "\n").where(F.col("ch") != "\n").select("doc_id", "i", "line_no")
 
 
