@@ -25,3 +25,19 @@ def test_line_ids_of_all_documents(spark):
             else:
                 want.append((doc, i, line))
     assert rows(spark, "line_ids") == sorted(want)
+
+
+def test_components_of_all_lineitems(spark):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for part, supp in read("lineitem")[["l_partkey", "l_suppkey"]].itertuples(index=False):
+        x, y = find(part), find(-1 - supp)
+        root[max(x, y)] = min(x, y)
+    assert rows(spark, "components") == sorted((x, find(x)) for x in list(root))
