@@ -41,3 +41,20 @@ def test_components_of_all_lineitems(spark):
         x, y = find(part), find(-1 - supp)
         root[max(x, y)] = min(x, y)
     assert rows(spark, "components") == sorted((x, find(x)) for x in list(root))
+
+
+def test_segments_of_all_images(spark):
+    want = []
+    for vec, px in read("embeddings")[["vec_id", "embedding"]].itertuples(index=False):
+        left = {(i % 8, i // 8) for i, v in enumerate(px) if abs(v) > 0.1}
+        while left:
+            group, todo = [], [left.pop()]
+            while todo:
+                x, y = todo.pop()
+                group.append((x, y))
+                near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            xs, ys = zip(*group, strict=True)
+            want.append((vec, min(xs), max(xs), min(ys), max(ys), len(group)))
+    assert rows(spark, "segment_components") == sorted(want)
