@@ -4,12 +4,17 @@ Texts are split by the vocabulary's pattern. The merges of a word are a fold (ag
 holds the piece ids and the rank of each neighbouring pair; a step merges the leftmost pair of the lowest rank and looks up
 the one or two pairs that are new. Ranks of pairs are a literal of the plan: BUCKETS short arrays of pair keys and ids.
 
+A fold over n bytes copies n ids a step, so a word of over LONG bytes is folded in parts: first cut at every LONG bytes, then
+again with cuts between two ids in the middle of each part. Ids are the whole word's if each two neighbours are what their own bytes fold to;
+neighbours within a part are. The second cuts therefore stand if both of their neighbours come out as in the first fold; where one
+doesn't, parts are eight times as long, and at last the word is folded whole.
+
 Words are folded once: the KEPT most frequent words of the corpus (a bounded table, broadcast to the Python workers) are
 folded as a table of distinct words; every other word is folded where it stands, once for each block of documents.
 Python only splits texts, and puts ids in their places. Decoding concatenates the binary piece of each id.
 
 Defined results: null text is empty and has no ids; an empty table gives an empty result; words and texts may have any
-length (a fold over n bytes copies n ids a step); other columns are not carried; text that is no token of the pattern
+length; other columns are not carried; text that is no token of the pattern
 does not exist, as the pattern covers every character.
 """
 
@@ -23,19 +28,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Finder, written
+from .common import Finder, map_lists, written
 
 BUCKETS = 1 << 15
 #: Most frequent words in the broadcast table, of at most KEPT_CHARS characters: under 80 MB whatever the corpus.
 KEPT, KEPT_CHARS = 1 << 19, 32
 #: Bytes of text in a block of documents.
 BLOCK = 1 << 20
+#: Bytes of a word that are folded at once; no piece of the vocabulary may be as long.
+LONG = 256
 _NONE = 1 << 30
 #: The vocabulary's pattern, its classes spelt out for engines with other ideas of white space.
 WORDS = r" ?[\p{L}]+| ?[\p{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^<white>\p{L}\p{N}]+|[<white>]+(?![^<white>])|[<white>]+"
@@ -62,8 +68,8 @@ def _bucket(left, right):
 
 
 @lru_cache(4)
-def _literals(path: str) -> tuple[str, str, str, str]:
-    """JSON of the merged ids of two bytes, of the byte ids, and of the pair keys and merged ids by bucket."""
+def _literals(path: str) -> tuple[str, ...]:
+    """JSON of the merged ids of two bytes, of the byte ids, of the pair keys and merged ids by bucket, and of the bytes of an id."""
     ranks = load_ranks(path)
     two = [ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]
     keys: list[list[int]] = [[] for _ in range(BUCKETS)]
@@ -76,7 +82,7 @@ def _literals(path: str) -> tuple[str, str, str, str]:
                 keys[at].append(left * 65536 + right)
                 ids[at].append(rank)
     spell = lambda x: json.dumps(x, separators=(",", ":"))
-    return spell(two), spell([ranks[bytes([b])] for b in range(256)]), spell(keys), spell(ids)
+    return spell(two), spell([ranks[bytes([b])] for b in range(256)]), spell(keys), spell(ids), spell([*map(len, pieces(path))])
 
 
 def _let(value: Column, use) -> Column:
@@ -85,34 +91,41 @@ def _let(value: Column, use) -> Column:
 
 
 class Merger:
-    """The fold as a Column function of a word's bytes, an array of integers from 0 to 255."""
+    """The fold as a Column function of words' bytes, arrays of integers from 0 to 255. The rank map is a literal that stands in the
+    plan once: within(use) binds it, and use(fold) is computed where it is bound."""
 
     def __init__(self, path: str):
-        two, of_byte, keys, ids = _literals(path)
-        self.two = F.from_json(F.lit(two), "array<int>")
-        self.of_byte = F.from_json(F.lit(of_byte), "array<int>")
-        self.keys = F.from_json(F.lit(keys), "array<array<bigint>>")
-        self.ids = F.from_json(F.lit(ids), "array<array<int>>")
+        two, of_byte, keys, ids, sizes = _literals(path)
+        typed = {"two": (two, "array<int>"), "of_byte": (of_byte, "array<int>"), "keys": (keys, "array<array<bigint>>"), "ids": (ids, "array<array<int>>"), "sizes": (sizes, "array<int>")}
+        self.tables = F.struct(*[F.from_json(F.lit(x), t).alias(n) for n, (x, t) in typed.items()])
+
+    def within(self, use) -> Column:
+        return _let(self.tables, lambda t: use(lambda raw: self.fold(t, raw)))
 
-    def rank(self, left: Column, right: Column) -> Column:
+    def rank(self, t: Column, left: Column, right: Column) -> Column:
         """The id of the merged pair, _NONE if there is none."""
         left, right = left.cast("long"), right.cast("long")
         h = ((left * 40503 + right * 30011) % BUCKETS).cast("int")
-        at = F.array_position(F.get(self.keys, h), left * 65536 + right)
-        return F.coalesce(F.get(F.get(self.ids, h), (at - 1).cast("int")), F.lit(_NONE))
+        at = F.array_position(F.get(t["keys"], h), left * 65536 + right)
+        return F.coalesce(F.get(F.get(t["ids"], h), (at - 1).cast("int")), F.lit(_NONE))
+
+    def fold(self, t: Column, raw: Column) -> Column:
+        n = F.size(raw)
+        single = F.transform(raw, lambda b: F.get(t["of_byte"], b))
+        return F.when(n <= 1, single).when(n <= LONG, self.short(t, raw)).otherwise(self.long(t, raw))
 
-    def __call__(self, raw: Column) -> Column:
+    def short(self, t: Column, raw: Column) -> Column:
         n = F.size(raw)
-        first = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(self.two, F.get(raw, i - 1) * 256 + F.get(raw, i)))
-        start = F.struct(F.transform(raw, lambda b: F.get(self.of_byte, b)).alias("ids"), first.alias("ranks"))
+        first = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(t["two"], F.get(raw, i - 1) * 256 + F.get(raw, i)))
+        start = F.struct(F.transform(raw, lambda b: F.get(t["of_byte"], b)).alias("ids"), first.alias("ranks"))
 
         def merge(state: Column, best: Column) -> Column:
             ids, ranks = state["ids"], state["ranks"]
 
             def at(p: Column) -> Column:
                 whole = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, F.size(ids)))
-                before = F.when(p > 1, F.array(self.rank(F.get(ids, p - 2), best))).otherwise(F.slice(ids, F.lit(1), F.lit(0)))
-                after = F.when(p + 1 < F.size(ids), F.array(self.rank(best, F.get(ids, p + 1)))).otherwise(F.slice(ids, F.lit(1), F.lit(0)))
+                before = F.when(p > 1, F.array(self.rank(t, F.get(ids, p - 2), best))).otherwise(F.slice(ids, F.lit(1), F.lit(0)))
+                after = F.when(p + 1 < F.size(ids), F.array(self.rank(t, best, F.get(ids, p + 1)))).otherwise(F.slice(ids, F.lit(1), F.lit(0)))
                 rest = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, F.size(ids)))
                 return F.struct(whole.alias("ids"), rest.alias("ranks"))
 
@@ -121,8 +134,40 @@ class Merger:
         def step(state: Column, _: Column) -> Column:
             return _let(F.array_min(state["ranks"]), lambda b: F.when(b < _NONE, merge(state, b)).otherwise(state))
 
-        folded = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["ids"])
-        return F.when(n > 1, folded).otherwise(F.transform(raw, lambda b: F.get(self.of_byte, b)))
+        return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["ids"])
+
+    def long(self, t: Column, raw: Column) -> Column:
+        """Tries parts of LONG and of 8 * LONG bytes, then the whole word."""
+        whole = F.array(F.struct(F.lit(0).alias("from"), F.size(raw).alias("n")))
+
+        def attempt(size: int, otherwise: Column) -> Column:
+            cuts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(raw) / size).cast("int") - 1), lambda k: F.struct((k * size).alias("from"), F.lit(size).alias("n")))
+
+            def seams(first: Column) -> Column:
+                """Of each part but the last the cut in its middle: its place in the word, and the ids on both sides."""
+
+                def seam(ids: Column, k: Column) -> Column:
+                    half = F.floor(F.size(ids) / 2).cast("int")
+                    size_of = F.aggregate(F.slice(ids, F.lit(1), half), F.lit(0), lambda s, i: s + F.get(t["sizes"], i))
+                    return F.struct((k * size + size_of).alias("at"), F.get(ids, half - 1).alias("left"), F.get(ids, half).alias("right"))
+
+                return F.transform(F.slice(first, F.lit(1), F.size(first) - 1), seam)
+
+            def again(cut: Column) -> Column:
+                starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda s: s["at"]), F.array(F.size(raw)))
+                pieces = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda k: F.struct(F.get(starts, k).alias("from"), (F.get(starts, k + 1) - F.get(starts, k)).alias("n")))
+
+                def joined(ids: Column) -> Column:
+                    stands = lambda s, k: (s["left"] == F.element_at(F.get(ids, k), -1)) & (s["right"] == F.get(F.get(ids, k + 1), F.lit(0)))
+                    ok = F.forall(F.transform(cut, stands), lambda x: x)
+                    return F.when(ok, F.flatten(ids)).otherwise(otherwise)
+
+                return _let(folded(pieces), joined)
+
+            return _let(folded(cuts), lambda first: _let(seams(first), again))
+
+        folded = lambda parts: F.transform(parts, lambda p: self.short(t, F.slice(raw, p["from"] + 1, p["n"])))
+        return attempt(LONG, F.when(F.size(raw) > 8 * LONG, attempt(8 * LONG, F.flatten(folded(whole)))).otherwise(F.flatten(folded(whole))))
 
 
 def bytes_of(word: Column) -> Column:
@@ -146,7 +191,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 seen = Counter()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, kept: int = KEPT) -> DataFrame:
@@ -165,7 +210,7 @@ def frequent(counts: DataFrame, kept: int = KEPT) -> DataFrame:
 def fold_table(docs: DataFrame, path: str, kept: int = KEPT) -> pa.Table:
     """word and ids of the most frequent words, by the fold."""
     counts = written(count_words(docs).where(F.length("word") <= KEPT_CHARS), "bpe-words")
-    return frequent(counts, kept).select("word", _let(bytes_of(F.col("word")), Merger(path)).alias("ids")).toArrow()
+    return frequent(counts, kept).select("word", Merger(path).within(lambda fold: _let(bytes_of(F.col("word")), fold)).alias("ids")).toArrow()
 
 
 def _as_dict(table: pa.Table) -> dict[str, bytes]:
@@ -270,9 +315,9 @@ def encode(docs: DataFrame, path: str | None = None, kept: int = KEPT, finish: s
                 flat = others.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
                 yield _joined(keys, parts, sizes, flat, pieces_by_id, finish)
 
-    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "keys array<long>, parts array<binary>, others array<array<int>>")
-    merger = Merger(path)
-    folded = blocks.select("keys", "parts", F.transform("others", merger).alias("others"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = rows.mapInArrow(split, "keys array<long>, parts array<binary>, others array<array<int>>")
+    folded = blocks.select("keys", "parts", Merger(path).within(lambda fold: F.transform("others", fold)).alias("others"))
     return folded.mapInArrow(join, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if finish == "digest" else "ids binary"))
 
 
@@ -281,11 +326,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     table = encoded.sparkSession.sparkContext.broadcast(pieces(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "decoded": [decode_ids(x, table.value) for x in batch["ids"]]})
+            yield {"doc_id": batch["doc_id"], "decoded": [decode_ids(x, table.value) for x in batch["ids"]]}
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")
+    return map_lists(encoded.select("doc_id", "ids"), run, "doc_id long, decoded binary")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

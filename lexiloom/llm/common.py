@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,9 +31,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexiloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -48,6 +53,40 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of names that no column of df has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow over plain lists: run takes and yields columns by name. Whole numbers stay exact beside nulls (pandas would
+    turn them into doubles)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names, struct = df.columns, T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = ({n: batch.column(i).to_pylist() for i, n in enumerate(names)} for batch in batches)
+        for out in run(lists):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(each, struct)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

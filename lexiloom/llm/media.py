@@ -23,10 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_lists
+
 UNIT, PAD = 192, 32
 OFFSET = 256
 MOST_WIDE = 4000
@@ -485,10 +487,10 @@ def padded_payload(raw: bytes) -> bytes:
     return raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), bytes([PAD]))
 
 
-def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[bytes]]]:
+def _grouped(batches: Iterator[dict]) -> Iterator[tuple[list, list[bytes]]]:
     for batch in batches:
         keys, raws, size = [], [], 0
-        for key, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+        for key, text in zip(batch["doc_id"], batch["text"], strict=True):
             keys.append(key)
             raws.append((text or "").encode("utf-8", "replace"))
             size += len(raws[-1]) + UNIT
@@ -499,34 +501,42 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[bytes
             yield keys, raws
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as a progressive JPEG."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for keys, raws in _grouped(batches):
-            yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "n_bytes": [len(r) for r in raws], "media": encode([padded_payload(r) for r in raws])})
+            yield {"doc_id": keys, "n_bytes": [len(r) for r in raws], "media": encode([padded_payload(r) for r in raws])}
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_lists(_texts(docs), run, "doc_id long, n_bytes long, media binary")
 
 
 def rgb(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with height, width and rgb (row-major bytes) for the JPEG in column."""
+    """files with height, width and rgb (row-major bytes) for the JPEG in column; columns of these names give way."""
     from pyspark.sql import types as T
 
+    files = files.drop("height", "width", "rgb")
     schema = T.StructType([*files.schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
+    place = files.columns.index(column)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = tensors(accumulate(batch[column].tolist()))
-            yield batch.assign(height=[x.shape[0] for x in got], width=[x.shape[1] for x in got], rgb=[x.tobytes() for x in got])
+            got = tensors(accumulate(batch.column(place).to_pylist()))
+            more = [pa.array([x.shape[0] for x in got], pa.int32()), pa.array([x.shape[1] for x in got], pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "height", "width", "rgb"])
 
-    return files.mapInPandas(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Stores, reads back and measures: the digest columns of every row."""
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for keys, raws in _grouped(batches):
             payloads = [padded_payload(r) for r in raws]
             files = encode(payloads)
@@ -535,7 +545,7 @@ def digest(docs: DataFrame) -> DataFrame:
             for key, raw, payload, file, (image, components), pixels in zip(keys, raws, payloads, files, read, tensors(read), strict=True):
                 back = payload_of(image, components, len(payload))
                 rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(pixels)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+            yield dict(zip(names, zip(*rows, strict=True), strict=True))
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return map_lists(_texts(docs), run, schema)

@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, map_lists, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Shingles of a block of documents that is signed at once.
 BLOCK = 200_000
-#: Texts of a bucket in a block.
-GROUP = 500
+#: Texts of a bucket in a block, and their bytes.
+GROUP, GROUP_BYTES = 500, 16 << 20
 #: Bits of the filter that keeps texts without candidates out of the joins.
 FILTER_BITS = 1 << 26
 
@@ -122,15 +122,15 @@ def bands(signatures: np.ndarray, n: int = BANDS) -> np.ndarray:
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (of the word sequence) and the hashes of the bands (null without words)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             keys, bags, size = [], [], 0
 
-            def out() -> pd.DataFrame:
-                got = bands(sign(bags)).astype(np.int64)
-                return pd.DataFrame({"doc_id": [k[0] for k in keys], "text_key": [k[1] for k in keys], "bands": [got[i].tolist() if len(bags[i][0]) else None for i in range(len(bags))]}).astype({"doc_id": "Int64"})  # noqa: B023
+            def out() -> dict:
+                got = bands(sign(bags)).astype(np.int64)  # noqa: B023
+                return {"doc_id": [k[0] for k in keys], "text_key": [k[1] for k in keys], "bands": [got[i].tolist() if len(b[0]) else None for i, b in enumerate(bags)]}  # noqa: B023
 
-            for key, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = b" ".join((text or "").encode("utf-8", "replace").split())
                 keys.append((key, xxhash.xxh3_128_hexdigest(words)))
                 bags.append(shingles(text))
@@ -141,7 +141,8 @@ def signed(docs: DataFrame) -> DataFrame:
             if keys:
                 yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, text_key string, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_lists(rows, run, "doc_id long, text_key string, bands array<long>")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             slots = batch["slot"].to_numpy().astype(np.int64)
             yield batch[(shared.value[slots // 64] >> (slots % 64).astype(np.uint64)) & np.uint64(1) > 0]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").withColumn("slot", slot)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").withColumn("slot", slot)
     return rows.mapInPandas(run, rows.schema).drop("slot").groupBy("id").agg(F.max("text").alias("text"))
 
 
@@ -229,10 +230,11 @@ def links(docs: DataFrame, buckets: DataFrame, similarity: float = SIMILARITY) -
     pairs = members.where("id > a").select("a", F.col("id").alias("b")).distinct()
     first = written(verified(pairs, texts, similarity), "near-tested").where("ok").select("a", "b")
     labels = components(first)
-    rows = members.select("band", "hash", "id").join(labels, "id", "left").select("band", "hash", "id", F.coalesce("label", "id").alias("class"))
+    sizes = texts.select("id", F.octet_length("text").alias("size"))
+    rows = members.select("band", "hash", "id").join(labels, "id", "left").join(sizes, "id").select("band", "hash", "id", "size", F.coalesce("label", "id").alias("class"))
     rows = written(rows, "near-rows")
-    open_ = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    open_ = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    blocks = F.ceil(F.greatest(F.col("n") / GROUP, F.col("size") / GROUP_BYTES)).cast("int")
     rest = rows.join(open_.select("band", "hash", blocks.alias("blocks")), ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "class").join(texts, "id")
@@ -274,6 +276,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each class (the least doc_id; rows that repeat it go too)."""
-    gone = classes(docs).where("not representative").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return rest
+    (name,) = fresh(docs, "gone")
+    gone = classes(docs).where("not representative").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -5,7 +5,7 @@ lengths has at most ``size`` entries, whatever the corpus holds. From the longes
 into the packs with the most room, as many at once as there are packs of that fill, and opens new packs when none has
 room. A run of packs with equal fill is (first sequence, how many), so a placement is (length, first rank, how many, first
 sequence, offset): at most a few for each length. Pieces of a length then take their placements by rank; ranks are
-counted in salted groups, so a hot length is not one task.
+counted in salted groups of about RANKED pieces, so a hot length is not one task.
 
 Defined results: null text is empty and is one piece with the end id alone; a repeated doc_id gives pieces of its own;
 an empty table gives no sequences; columns other than doc_id and text are not carried.
@@ -25,11 +25,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Finder, written
+from .common import Finder, map_lists, written
 
 SIZE = 4096
 END = 2
-SALTS = 64
+#: Pieces of one length that are ranked together.
+RANKED = 1 << 14
 #: Words kept with their ids in a Python worker; beyond it the table starts anew.
 KEPT_WORDS = 1_200_000
 #: Texts that are encoded together.
@@ -110,20 +111,20 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
     path = path or public_tokenizers.path("word_bpe_49k.json")
     tail = np.array([end], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[dict]) -> Iterator[dict]:
         own = encoder(path)
         for batch in batches:
-            keys, texts = batch["doc_id"].astype("Int64"), batch["text"].tolist()
-            for i in range(0, len(batch), TEXTS):
+            keys, texts = batch["doc_id"], batch["text"]
+            for i in range(0, len(keys), TEXTS):
                 out = []
                 for key, ids in zip(keys[i : i + TEXTS], own.encode(texts[i : i + TEXTS]), strict=True):
                     ids += tail
                     total = len(ids) // 4
                     out += [(key, at, min(size, total - at), total, ids[4 * at : 4 * (at + size)]) for at in range(0, total, size)]
-                got = pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
-                yield got.astype({"doc_id": "Int64"})
+                yield dict(zip(("doc_id", "start", "length", "doc_tokens", "ids"), zip(*out, strict=True), strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_lists(rows, cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -153,9 +154,11 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces (a table with doc_id, start and length, written and not computed anew)."""
     spark = cut.sparkSession
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most size * SALTS rows
-    placed = plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, size)
+    histogram = {int(k): int(n) for k, n in cut.groupBy("length").agg(F.count(F.lit(1))).collect()}  # at most size rows
+    salts = F.broadcast(spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, salts int"))
+    cut = cut.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id", "start"), F.col("salts")).cast("int")).drop("salts")
+    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row for RANKED pieces, and one for each length
+    placed = plan(histogram, size)
     counts = counts.sort_values(["length", "salt"])
     counts["before"] = counts.groupby("length")["n"].cumsum() - counts["n"]
     starts = F.broadcast(spark.createDataFrame(counts[["length", "salt", "before"]].astype({"length": "int64"}), "length long, salt int, before long"))

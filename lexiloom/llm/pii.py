@@ -6,36 +6,40 @@ by the share of its distinct instances that belong to a kind, an instance by its
 need PATTERN_SUPPORT distinct instances and PATTERN_SCORE; instances of INSTANCE_SCORE or more that were not seeds are new
 identifiers, and count as seeds of the next round. Base spans always stay.
 
+Values and patterns travel as 128-bit hashes, so rows are small whatever the length of a token or word; 2e12 distinct values
+make a collision among them less likely than one in a hundred trillion.
+
 Defined results: null text is empty and has no spans; rows that repeat a doc_id are judged by their own texts; an empty
-table gives an empty result; a value found under two kinds takes the better scored, then the first in KINDS.
+table gives an empty result; a value found under two kinds takes the better scored, then the first in KINDS. Tokens and
+context words count at any length.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_lists, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERN_SUPPORT = 5
 PATTERN_SCORE = 0.8
 INSTANCE_SCORE = 0.9
 ROUNDS = 2
-#: Longest identifier and longest context word that take part in patterns; longer tokens are no identifiers.
-TOKEN = 64
+#: Fewest characters of a token that may be an identifier.
+LEAST = 6
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<!\S)(?=\S*[0-9@])\S{6,}")
+_MARK = re.compile(r"[0-9@]").search
 _WORD = re.compile(r"\S+")
 
 
@@ -74,45 +78,76 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _shape(word: str) -> str:
-    return re.sub(r"[0-9]", "0", word.lower())[:TOKEN]
+    return re.sub(r"[0-9]", "0", word.lower())
+
+
+def _key(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "replace"))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns around a span: two words before it, and one on either side."""
-    near = _WORD.findall(text[max(0, start - 3 * TOKEN) : start])[-2:]
-    after = _WORD.search(text[end : end + 2 * TOKEN])
-    left, right = [*map(_shape, near)], _shape(after[0]) if after else "$"
+def contexts(words: list[tuple[int, int, str]], starts: list[int], start: int, end: int) -> list[str]:
+    """The patterns around a span: the two words before it, and one on either side. words: (start, end, text) in order.
+
+    A span inside a word has that word's other parts as its neighbours.
+    """
+    at = bisect_left(starts, start)
+    before = words[max(0, at - 2) : at]
+    near = [w[: max(0, start - a)] if b > start else w for a, b, w in before]
+    after = bisect_left(starts, end)
+    rest = ""
+    if after and words[after - 1][1] > end:  # the word that the span ends in
+        rest = words[after - 1][2][end - words[after - 1][0] :]
+    elif after < len(words):
+        rest = words[after][2]
+    left = [_shape(w) for w in near]
     out = []
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} _")
-    if left and after:
-        out.append(f"{left[-1]} _ {right}")
+    if left and rest:
+        out.append(f"{left[-1]} _ {_shape(rest)}")
     return out
 
 
+def occurrences(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """The base spans, and every base span and identifier-like token with its patterns; kind -1 for those that are no base span."""
+    spans = base_spans(text)
+    if not spans and not _MARK(text):
+        return [], []
+    words = [(*m.span(), m[0]) for m in _WORD.finditer(text)]
+    starts = [w[0] for w in words]
+    row = lambda k, s, e: {"kind": k, "at": s, "end": e, "value": _key(text[s:e]), "patterns": [*map(_key, contexts(words, starts, s, e))]}
+    seen = [row(k, s, e) for k, s, e in spans]
+    taken = sorted((s, e) for _, s, e in spans)
+    ends: list[int] = []  # the furthest end so far, as spans of different kinds may overlap
+    for _, e in taken:
+        ends.append(max(e, ends[-1] if ends else 0))
+    first = [s for s, _ in taken]
+    for s, e, word in words:
+        if e - s >= LEAST and _MARK(word):
+            at = bisect_left(first, e)  # the spans that begin before the word's end
+            if not at or ends[at - 1] <= s:
+                seen.append(row(-1, s, e))
+    return spans, seen
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: row key, counts, base spans, and occurrences (kind, span, value, patterns)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
+            out: dict[str, list] = {c: [] for c in ("row_key", *(f"n_{k}" for k in KINDS), "base", "seen")}
             for text in batch["text"]:
-                text = text or ""
-                spans = base_spans(text)
-                seen = [{"kind": k, "at": s, "end": e, "value": text[s:e][: 4 * TOKEN], "patterns": contexts(text, s, e)} for k, s, e in spans]
-                taken = sorted((s, e) for _, s, e in spans)
-                for m in _TOKEN.finditer(text):
-                    s, e = m.span()
-                    if e - s <= TOKEN and not any(a < e and s < b for a, b in taken):
-                        seen.append({"kind": -1, "at": s, "end": e, "value": m[0], "patterns": contexts(text, s, e)})
-                counts = [sum(k == i for k, _, _ in spans) for i in range(len(KINDS))]
-                rows.append((hashlib.md5(text.encode("utf-8", "replace"), usedforsecurity=False).hexdigest(), *counts, [x for s in spans for x in s], seen))
-            out = pd.DataFrame(rows, columns=["row_key", *(f"n_{k}" for k in KINDS), "base", "seen"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+                spans, seen = occurrences(text or "")
+                out["row_key"].append(_key(text or ""))
+                for i, k in enumerate(KINDS):
+                    out[f"n_{k}"].append(sum(s[0] == i for s in spans))
+                out["base"].append([x for s in spans for x in s])
+                out["seen"].append(seen)
+            yield {"doc_id": batch["doc_id"]} | out
 
     seen = "array<struct<kind int, at long, end long, value string, patterns array<string>>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, f"doc_id long, row_key string, {', '.join(f'n_{k} long' for k in KINDS)}, base array<long>, seen {seen}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_lists(rows, run, f"doc_id long, row_key string, {', '.join(f'n_{k} long' for k in KINDS)}, base array<long>, seen {seen}")
 
 
 def discover(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:

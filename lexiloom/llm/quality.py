@@ -15,11 +15,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, map_lists
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000
@@ -97,10 +97,10 @@ def _base(text: str, words: list[bytes], h: np.ndarray) -> tuple:
 
 def fit(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
     """log p_trusted - log p_raw for each bucket."""
-    good = labels.where("quality = 1").select("doc_id").where("doc_id is not null").distinct()
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     ids = {r[0] for r in good.orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id").limit(trusted).collect()}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -108,9 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarra
                 raw += found
                 if key in ids:
                     target += found
-        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": raw, "target": target})
+        yield {"bucket": np.arange(BUCKETS, dtype=np.int32), "raw": raw, "target": target}
 
-    sums = docs.select("doc_id", "text").mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sums = map_lists(rows, count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
     if not target.sum():
@@ -124,7 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
     ratio = fit(docs, labels, trusted)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[dict]) -> Iterator[dict]:
         table = shared.value
         for batch in batches:
             rows = []
@@ -135,26 +136,28 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
                 base = _base(text, words, h)
                 llr = float(np.sum(table[ngram_buckets(h)]) / (2 * len(words) - 1)) if words else 0.0
                 rows.append((*base, llr, not base[-1] and round(llr, 9) >= threshold))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+            yield {"doc_id": batch["doc_id"]} | dict(zip(names, zip(*rows, strict=True), strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_lists(rows, score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with their columns, in one pass: the verdict is taken where the text is."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             kept = []
-            for text in batch["text"]:
+            for text in batch.column(place).to_pylist():
                 text = text or ""
                 words = text.encode("utf-8", "replace").split()
                 h = word_hashes(words)
                 kept.append(not _base(text, words, h)[-1] and round(float(np.sum(table[ngram_buckets(h)]) / (2 * len(words) - 1)), 9) >= threshold)
-            yield batch[np.array(kept, bool)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

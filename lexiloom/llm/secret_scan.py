@@ -1,14 +1,18 @@
 """Secret scans: rules find candidates, a random forest removes the false ones. DataFrame and SQL functions only.
 
-A candidate is an unbroken run of LEAST or more key characters, less a name and assignment at its start; a white-space-delimited
-token may hold several, each with its own name and neighbours. Its features are length, character transitions, shares of digits, letters and hexadecimals, distinct
-characters, coverage by dictionary words, path and address marks, an assignment before it, and the neighbouring words.
+A candidate is an unbroken run of LEAST or more key characters, or one of LEAST_ASSIGNED or more right after a name of SECRET_NAMES
+and an assignment; a name and assignment at its start don't belong to it. Its features are length, character transitions, shares of
+digits, letters and hexadecimals, distinct characters, coverage by dictionary words, path and address marks, an assignment
+before it, and the neighbouring words. Values count at any length.
 The forest is trained on labelled_findings, a seeded table of true and false findings of TRAINING rows, by Spark's own
-library; its trees then become one CASE expression, so that scoring stays in the generated code of the scan.
+library; its trees then become one CASE expression.
 
-Defined results: null text is empty and has no candidates; a value that occurs more than once in a document is one finding with
-its number of occurrences; the features of a value over LONGEST characters are those of its first LONGEST; repeated rows
-give repeated findings; an empty table gives an empty result.
+All is done inside the row: one pattern cuts the text into pieces (what stands before a candidate, and the candidate), and
+higher-order functions judge the pieces. Nothing is shuffled, and redaction joins the pieces again.
+
+Defined results: null text is empty and has no candidates, and stays null; a value that occurs more than once in a document is one
+finding with its first place, the number of its places and its highest vote; a null doc_id is like any other; repeated rows
+give repeated findings; an empty table gives an empty result; columns of any name are carried by redact.
 """
 
 from __future__ import annotations
@@ -19,8 +23,12 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, LONGEST = 16, 512
-TRAINING = 6_000
+from .common import fresh, written
+
+LEAST, LEAST_ASSIGNED = 16, 6
+#: Pieces whose lengths are added up together.
+ADDED = 256
+TRAINING = 9_000
 TREES, DEPTH = 20, 6
 ACCEPT = 0.5
 MASK = "[SECRET]"
@@ -47,86 +55,113 @@ DICTIONARY = (
 ).split()
 
 FEATURES = ("n", "switches", "digits", "uppers", "lowers", "hexes", "distinct", "covered", "slashes", "dots", "ats", "other", "assigned", "quoted", "near_secret", "near_hash")
-_RUN = rf"[A-Za-z0-9_+/.=@:~-]{{{LEAST},}}"
-#: What stands before a run in its token, the run, and a quote right after it.
-_PIECE = rf"""(?s)(.*?)({_RUN})(?=(["'`]?))"""
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """Each document's candidates with the two words before and the one after, once for each place."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # texts without any run of key characters stop here
-    words = words.where(F.col("text").rlike(_RUN)).select("doc_id", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    fits = lambda x: (F.length(x) >= LEAST) & x.rlike(_RUN)
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: fits(F.get("w", i)))
-    near = lambda i: F.struct(F.get("w", i).alias("token"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i - 2), F.lit("")).alias("before2"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"))
-    found = words.select("doc_id", "text", F.transform(places, near).alias("found"))
-    # outer, as a filter on found would be pushed below it and split the text once for each word
-    rows = found.select("doc_id", "text", F.explode_outer("found").alias("f")).where(F.col("f").isNotNull()).select("doc_id", "text", "f.*")
-    part = lambda k: F.regexp_extract_all("token", F.lit(_PIECE), F.lit(k))
-    rows = rows.withColumns({"gaps": part(1), "runs": part(2), "ends": part(3)})
-    rows = rows.select("*", F.posexplode_outer("runs").alias("k", "run"))
-    rows = rows.withColumn("lead", F.regexp_extract("run", "^([A-Za-z_]{2,24})?[=:]+", 0))
-    rows = rows.withColumns({"head": F.concat(F.get("gaps", F.col("k")), "lead"), "value": F.expr("substring(run, length(lead) + 1)")})
-    rows = rows.where(F.length("value") >= LEAST)
-    name = F.lower(F.regexp_extract("head", r"""([A-Za-z_]{2,24})["'`]*[=:(\[]+["'`]*$""", 1))
-    # a word that stands before the run in its token, without assigning it, is its neighbour
-    inner = F.coalesce(F.nullif(F.regexp_extract("head", "([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1), F.lit("")), F.get("runs", F.col("k") - 1), F.lit(""))
-    rows = rows.withColumns({"name": name, "inner": F.when(name == "", inner).otherwise("")})
-    moved = F.col("inner") != ""
-    before, before2 = F.when(moved, F.col("inner")).otherwise(F.col("before")), F.when(moved, F.col("before")).otherwise(F.col("before2"))
-    token = F.concat(F.regexp_extract("head", "[\"'`]?$", 0), "value", F.get("ends", F.col("k")))
-    return rows.select("doc_id", "value", "name", token.alias("token"), before.alias("before"), before2.alias("before2"), "after", (F.expr("locate(value, text)") - 1).alias("start"))
+_KEY = "[A-Za-z0-9_+/.=@:~-]"
+_QUOTE = r"[\x22\x27\x60]"
+#: A name, what assigns it, and an opening quote.
+_LEAD = rf"^(?:[A-Za-z_]{{2,24}})?{_QUOTE}?[ ]{{0,2}}[=:]+[ ]{{0,2}}{_QUOTE}?(?={_KEY})"
+_RUN = rf"(?<!{_KEY})(?:{_KEY}{{{LEAST},}}+|(?i:{SECRET_NAMES}){_QUOTE}?[ ]{{0,2}}[=:][ ]{{0,2}}{_QUOTE}?{_KEY}{{{LEAST_ASSIGNED},}}+)"
+#: What stands before a run, and the run; the last piece is what follows the last run.
+_PIECE = rf"(?s)(.*?)(?:({_RUN})|\z)"
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """Adds FEATURES to rows of value, name, token, before, before2 and after."""
-    short = F.substring("value", 1, LONGEST)
-    n = F.length(short)
-    share = lambda pattern: F.regexp_count(short, F.lit(pattern)) / n
-    context = F.lower(F.concat_ws(" ", "name", "before2", "before"))
-    word = lambda names: F.regexp_like(context, F.lit(rf"(^|[^a-z0-9])({names})([^a-z0-9]|$)")).cast("double")
+def _r(pattern: str) -> str:
+    """A pattern as SQL, with backslashes as they are."""
+    return "r'" + pattern + "'"
+
+
+def _features() -> dict[str, str]:
+    """SQL over v.value, v.name, v.token, v.before and v.before2."""
+    share = lambda pattern: f"size(regexp_extract_all(v.value, {_r(pattern)}, 0)) / length(v.value)"
+    context = "lower(concat_ws(' ', v.name, v.before2, v.before))"
+    word = lambda names: f"cast(rlike({context}, {_r(rf'(^|[^a-z0-9])({names})([^a-z0-9]|$)')}) as double)"
     longest = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
-    covered = n - F.length(F.regexp_replace(F.lower(short), longest, ""))
-    return found.withColumns({
-        "n": n.cast("double"),
-        "switches": F.regexp_count(short, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z]{2})[a-z]")) / n,
+    return {
+        "n": "cast(length(v.value) as double)",
+        "switches": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z]{2})[a-z]"),
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
         "hexes": share("[0-9a-f]"),
-        "distinct": F.size(F.array_distinct(F.split(short, ""))) / F.least(n, F.lit(40)),
-        "covered": covered / n,
+        "distinct": "size(array_distinct(split(v.value, ''))) / least(length(v.value), 40)",
+        "covered": f"(length(v.value) - length(regexp_replace(lower(v.value), {_r(longest)}, ''))) / length(v.value)",
         "slashes": share("[/]"),
         "dots": share("[.]"),
         "ats": share("[@:]"),
         "other": share("[_+=~-]"),
-        "assigned": (F.col("name") != "").cast("double") + F.regexp_like("before", F.lit("[=:]$")).cast("double"),
-        "quoted": F.regexp_like("token", F.lit("^[\"'`]|[\"'`][,;)]*$")).cast("double"),
+        "assigned": "cast(v.name <> '' as double) + cast(rlike(v.before, '[=:]$') as double)",
+        "quoted": f"cast(rlike(v.token, {_r(f'^{_QUOTE}|{_QUOTE}[,;)]*$')}) as double)",
         "near_secret": word(SECRET_NAMES),
         "near_hash": word(HASH_NAMES),
-    })
+    }
+
+
+def with_features(found: DataFrame) -> DataFrame:
+    """Adds FEATURES to rows of value, name, token, before and before2."""
+    rows = found.withColumn("v", F.struct("value", "name", "token", "before", "before2"))
+    return rows.select("*", *[F.expr(x).cast("double").alias(n) for n, x in _features().items()]).drop("v")
+
+
+def _parts(text: Column) -> Column:
+    """The pieces of a text: gap (what stands before), lead, value, whether it is a candidate, and what its features are made of."""
+    gaps, runs = (F.regexp_extract_all(text, F.lit(_PIECE), F.lit(k)) for k in (1, 2))
+
+    def cut(gap: Column, run: Column) -> Column:
+        lead = F.regexp_extract(run, _LEAD, 0)
+        return F.struct(gap.alias("gap"), lead.alias("lead"), F.substring(run, F.length(lead) + 1, F.length(run)).alias("value"), F.split(gap, r"[\x20\x09-\x0D]+").alias("words"))
+
+    def near(pieces: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(pieces, i - 1)["value"]).otherwise(F.lit(""))  # the run before
+            words = F.concat(F.array(F.lit(""), F.lit(""), before), F.transform(F.slice(p["words"], -F.least(F.size(p["words"]), F.lit(3)), F.lit(3)), lambda w: w))
+            head = F.concat(F.element_at(words, -1), p["lead"])
+            name = F.lower(F.regexp_extract(head, r"""([A-Za-z_]{2,24})["'`]*[ ]{0,2}[=:(\[]+[ ]{0,2}["'`]*$""", 1))
+            # a word that stands before the run in its token, without assigning it, is its neighbour
+            inner = F.when(name == "", F.regexp_extract(F.element_at(words, -1), "([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)).otherwise("")
+            moved = inner != ""
+            left, right = F.regexp_extract(head, "[\"'`]?$", 0), F.regexp_extract(F.coalesce(F.get(pieces, i + 1)["gap"], F.lit("")), "^[\"'`]?", 0)
+            secret = F.regexp_like(name, F.lit(f"^({SECRET_NAMES})$"))
+            return F.struct(
+                p["gap"], p["lead"], p["value"], ((F.length(p["value"]) >= LEAST) | ((F.length(p["value"]) >= LEAST_ASSIGNED) & secret)).alias("candidate"),
+                name.alias("name"), F.concat(left, p["value"], right).alias("token"),
+                F.when(moved, inner).otherwise(F.element_at(words, -2)).alias("before"), F.when(moved, F.element_at(words, -2)).otherwise(F.element_at(words, -3)).alias("before2"),
+            )
+
+        return F.transform(pieces, one)
+
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return bind(F.zip_with(gaps, runs, cut), near)
+
+
+def _judged(docs: DataFrame, forest: list[str], name: str) -> DataFrame:
+    """docs with the judged pieces of each text in column name; null for texts without any run."""
+    text = F.col("text").cast("string")
+    rows = docs.withColumn(name, F.when(text.rlike(_RUN), _parts(text)))
+    made = ", ".join(f"'{n}', cast({x} as double)" for n, x in _features().items())
+    rows = rows.withColumn(name, F.expr(f"transform({name}, v -> named_struct('gap', v.gap, 'lead', v.lead, 'value', v.value, 'candidate', v.candidate, 'f', if(v.candidate, named_struct({made}), null)))"))
+    vote = " + ".join(f"({re.sub(r'WHEN ([a-z_]+)', r'WHEN v.f.\1', t)})" for t in forest)
+    return rows.withColumn(name, F.expr(f"transform({name}, v -> named_struct('gap', v.gap, 'lead', v.lead, 'value', v.value, 'vote', if(v.candidate, ({vote}) / {len(forest)}, null)))"))
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAINING) -> DataFrame:
     """True and false findings with label; a table of fixed size, made from seeded hashes by SQL functions alone."""
-    base = spark.range(0, rows, 1, 1)
     draw = lambda k: F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 512)
-    hexes = draw("hex")
-    b64 = F.translate(F.base64(F.unhex(draw("b64"))), "+/=", "xYz")
-    upper = F.upper(F.translate(F.substring(F.conv(F.substring(draw("up"), 1, 15), 16, 36), 1, 11), "", ""))
-    upper = F.concat(upper, F.upper(F.conv(F.substring(draw("up"), 16, 15), 16, 36)))
+    number = lambda k: F.conv(F.substring(draw(k), 1, 8), 16, 10).cast("long")
     words = F.array(*map(F.lit, DICTIONARY))
-    pick = lambda k, m: F.conv(F.substring(draw(k), 1, 8), 16, 10).cast("long") % m
-    word = lambda k: F.get(words, pick(k, len(DICTIONARY)).cast("int"))
+    upper = F.concat(F.upper(F.conv(F.substring(draw("up"), 1, 15), 16, 36)), F.upper(F.conv(F.substring(draw("up"), 16, 15), 16, 36)))
+    drawn = {"hexes": draw("hex"), "b64": F.translate(F.base64(F.unhex(draw("b64"))), "+/=", "xYz"), "upper": upper, "digits": F.translate(F.substring(draw("hex"), 1, 24), "abcdef", "194752")}
+    drawn |= {f"word_{k}": F.get(words, (number(k) % len(DICTIONARY)).cast("int")) for k in ("filler", "f2", "a", "b", "c", "d")}
+    drawn |= {f"pick_{k}": number(k) for k in ("c", "s", "h", "p", "n", "n2", "eq", "pw")}
+    # the draws are computed once, before the kinds: an explode keeps them out of the kinds' expression
+    base = spark.range(0, rows, 1, 1).select("id", F.explode(F.array(F.struct(*[c.alias(n) for n, c in drawn.items()]))).alias("d")).select("id", "d.*")
+    hexes, b64, upper, digits = map(F.col, ("hexes", "b64", "upper", "digits"))
+    pick = lambda k, m: F.col(f"pick_{k}") % m
+    word = lambda k: F.col(f"word_{k}")
     some = lambda k, names: F.get(F.array(*map(F.lit, names)), pick(k, len(names)).cast("int"))
     filler = word("filler")
     secret, harmless = some("s", SECRET_NAMES.split("|")), some("h", HASH_NAMES.split("|"))
     cut = lambda text, k, low, high: F.substring(text, F.lit(1), (low + pick(k, high - low)).cast("int"))
-    sep = some("sep", ["=", ":", ""])
     e = F.lit("")
-    digits = F.translate(F.substring(hexes, 1, 24), "abcdef", "194752")
+    letters = cut(F.translate(hexes, "0123456789", "inortsuhle"), "n", 16, 30)
     kinds = [  # label, value, name, quote, before, before2
         (1, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), e, e, filler, word("f2")),
         (1, F.concat(F.lit("AKIA"), F.translate(F.substring(hexes, 1, 16), "0123456789abcdef", "QW3RTY4UAS7DFGHJ")), e, e, filler, word("f2")),
@@ -136,6 +171,19 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING) -> DataFrame:
         (1, cut(hexes, "c", 16, 41), secret, e, filler, word("f2")),
         (1, cut(b64, "c", 20, 60), secret, e, filler, word("f2")),
         (1, cut(b64, "c", 20, 60), e, F.lit('"'), some("eq", ["=", ":"]), secret),
+        (1, cut(b64, "c", 6, 16), secret, e, filler, word("f2")),
+        (1, F.concat(F.translate(F.substring(hexes, 1, 4), "0123456789", "ghkmnpqrst"), F.substring(hexes, 7, 4), F.substring(digits, 1, 2)), secret, F.lit('"'), filler, word("f2")),
+        (1, F.concat(F.initcap(F.translate(F.substring(hexes, 1, 7), "0123456789", "ghkmnpqrst")), F.substring(digits, 1, 3)), some("pw", ["password", "passwd", "pwd", "secret"]), e, filler, word("f2")),
+        (1, F.translate(F.substring(hexes, 1, 24), "0123456789", "ghkmnpqrst"), secret, e, filler, word("f2")),
+        (0, letters, e, e, filler, word("f2")),
+        (0, F.initcap(letters), e, e, filler, word("f2")),
+        (0, F.concat(letters, some("p", [".", "--", "...", "~"])), e, e, filler, word("f2")),
+        (0, F.concat(word("a"), word("b"), word("c"), word("d")), e, e, filler, word("f2")),
+        (0, F.upper(letters), e, e, filler, word("f2")),
+        (0, F.concat(word("a"), word("b")), secret, e, filler, word("f2")),
+        (0, F.concat(word("a"), F.lit("_"), word("b")), secret, e, filler, word("f2")),
+        (0, F.concat(word("a"), F.lit("."), word("b")), secret, F.lit('"'), filler, word("f2")),
+        (0, F.concat(word("a"), F.lit("s")), secret, e, filler, word("f2")),
         (0, F.substring(hexes, 1, 40), e, e, harmless, filler),
         (0, cut(hexes, "c", 32, 65), harmless, e, filler, word("f2")),
         (0, F.regexp_replace(F.substring(hexes, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), e, e, filler, word("f2")),
@@ -152,12 +200,13 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING) -> DataFrame:
     ]
     kind = (F.col("id") % len(kinds)).cast("int")
     struct = lambda i: F.struct(F.lit(float(kinds[i][0])).alias("label"), *(c.alias(n) for c, n in zip(kinds[i][1:], ("value", "name", "quote", "before", "before2"), strict=True)))
-    row = struct(0)
+    row = F.when(kind == 0, struct(0))
     for i in range(1, len(kinds)):
-        row = F.when(kind == i, struct(i)).otherwise(row)
-    out = base.select(row.alias("r")).select("r.*")
+        row = row.when(kind == i, struct(i))
+    out = base.select(F.explode(F.array(row)).alias("r")).select("r.*")
     token = F.concat(F.when(F.col("name") != "", F.concat("name", F.lit("="))).otherwise(""), "quote", "value", "quote")
-    return out.withColumns({"token": token, "after": F.lit("the")}).where(F.length("value") >= LEAST)
+    long_enough = (F.length("value") >= LEAST) | ((F.length("value") >= LEAST_ASSIGNED) & F.col("name").isin(*SECRET_NAMES.split("|")))
+    return out.withColumn("token", token).where(long_enough)
 
 
 def _tree_sql(text: str) -> str:
@@ -181,7 +230,7 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(with_features(findings)).select("label", "features")
+    rows = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(with_features(written(findings, "findings"))).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
     return [_tree_sql(t.toDebugString) for t in model.trees]
 
@@ -191,13 +240,24 @@ def _trained(app: str) -> tuple[str, ...]:
     return tuple(train(labelled_findings(SparkSession.getActiveSession())))
 
 
+def _forest(docs: DataFrame, forest: list[str] | None) -> list[str]:
+    return forest or list(_trained(docs.sparkSession.sparkContext.applicationId))
+
+
 def scan(docs: DataFrame, forest: list[str] | None = None, accept: float = ACCEPT) -> DataFrame:
-    """Candidates with the forest's vote (0 to 1) and secret, true from accept on."""
-    forest = forest or _trained(docs.sparkSession.sparkContext.applicationId)
-    vote = F.expr(" + ".join(f"({t})" for t in forest)) / len(forest)
-    rows = with_features(candidates(docs)).withColumn("vote", vote.cast("double"))
-    rows = rows.groupBy("doc_id", "value").agg(F.max("vote").alias("vote"), F.min("start").alias("start"), F.count(F.lit(1)).alias("n_tokens"))
-    return rows.withColumn("secret", F.col("vote") >= accept)
+    """doc_id, value, vote (0 to 1), start, n_tokens and secret, true from accept on, of each document's candidates."""
+    rows = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _forest(docs, forest), "pieces").where("pieces is not null")
+    # the place of a piece: whole blocks of pieces before its own, and the pieces before it in its block
+    rows = rows.select("doc_id", "pieces", F.expr("transform(pieces, v -> length(v.gap) + length(v.lead) + length(v.value))").alias("sizes"))
+    blocks = f"transform(sequence(0, (size(sizes) - 1) div {ADDED}), b -> aggregate(slice(sizes, b * {ADDED} + 1, {ADDED}), 0, (s, x) -> s + x))"
+    rows = rows.select("doc_id", "pieces", "sizes", F.expr(f"aggregate({blocks}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x)))").alias("ends"))
+    place = f"ends[i div {ADDED}] + aggregate(slice(sizes, i div {ADDED} * {ADDED} + 1, i % {ADDED}), 0, (s, x) -> s + x) + length(v.gap) + length(v.lead)"
+    found = F.expr(f"filter(transform(pieces, (v, i) -> named_struct('value', v.value, 'start', {place}, 'vote', v.vote)), x -> x.vote is not null)")
+    # places of a value stand side by side after sorting; the first of them holds the value's row
+    rows = rows.select("doc_id", F.array_sort(found).alias("found")).select("doc_id", "found", F.expr("filter(sequence(0, size(found) - 1), i -> size(found) > 0 and (i = 0 or found[i - 1].value <> found[i].value))").alias("firsts"))
+    group = "slice(found, firsts[k] + 1, if(k + 1 < size(firsts), firsts[k + 1], size(found)) - firsts[k])"
+    one = f"transform(firsts, (f, k) -> named_struct('value', found[f].value, 'vote', array_max(transform({group}, x -> x.vote)), 'start', found[f].start, 'n_tokens', cast(size({group}) as bigint)))"
+    return rows.select("doc_id", F.inline(F.expr(one))).withColumn("secret", F.col("vote") >= accept)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -205,13 +265,15 @@ def digest(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "n_tokens", "vote", "secret")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs, all columns and rows, with MASK in place of accepted secrets; texts without candidates aren't moved."""
-    values = scan(docs).where("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values"))
-    joined = docs.join(values.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    longest_first = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    masked = F.aggregate(longest_first, F.col("text").cast("string"), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    out = joined.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(masked)).drop("_doc", "_values")
+def redact(docs: DataFrame, forest: list[str] | None = None, accept: float = ACCEPT) -> DataFrame:
+    """docs, all columns and rows, with MASK in place of accepted secrets; a value accepted in one place goes in all of its places."""
+    pieces, gone = fresh(docs, "pieces", "gone")
+    rows = _judged(docs, _forest(docs, forest), pieces)
+    rows = rows.withColumn(gone, F.expr(f"array_distinct(transform(filter({pieces}, v -> v.vote >= {accept}), v -> v.value))"))
+    # from many values, a map finds one in a step
+    rows = rows.withColumn(gone, F.when(F.size(gone) > 0, F.map_from_arrays(gone, F.expr(f"transform({gone}, x -> true)"))))
+    masked = F.expr(f"array_join(transform({pieces}, v -> concat(v.gap, v.lead, if(map_contains_key({gone}, v.value), '{MASK}', v.value))), '')")
+    out = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -6,9 +6,12 @@ buckets as keep each one below ``bucket_bytes``. Pass two brings each bucket int
 shuffle seeded by the bucket's number and writes it. Nothing but the count per bucket, one row for each bucket,
 is gathered anywhere.
 
+A bucket number is the hash of key and text, so rows that repeat both would fill one bucket. Where such rows outgrow a
+bucket, they alone are dealt to it and the extra buckets after it by their place in the input.
+
 Defined results: a null key is a key of its own; a null text has no bytes; rows with equal keys share the shard, and
-their buckets differ by text, rows equal in both being kept apart only by the order in the bucket; an empty table
-gives empty shards; other columns are carried unless they clash with the added names, which win.
+their buckets differ by text; an empty table gives empty shards; other columns are carried unless they clash with the
+added names, which win.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, text_of
+from .common import fresh, new_path, text_of, written
 
 LAW = "key"
 ADDED = ("shard", "bucket", "place", "grown_shard")
+#: Most repeated rows (by their hashes) that are broadcast; more of them are joined by a shuffle.
+MOST_HOT = 100_000
 
 
 def jump_hash(key: Column, n: int, seed: int) -> Column:
@@ -48,11 +53,21 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
     total = docs.agg(F.sum(F.octet_length(text_of(docs, text)) + 64)).first()[0] or 0
     per_shard = max(1, -(-int(total) // (shards * bucket_bytes)))
     hashed = _rehash(docs[key], seed)
+    row_hash = F.xxhash64(F.lit(seed + 1), docs[key], docs[text])
     scattered = docs.withColumns({
         "shard": jump_hash(hashed, shards, seed),
         "grown_shard": jump_hash(hashed, shards + 1, seed),
-        "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), docs[key], docs[text]), F.lit(per_shard)).cast("int"),
+        "bucket": F.pmod(row_hash, F.lit(per_shard)).cast("int"),
     })
+    same, parts, row = fresh(scattered, "same", "parts", "row")
+    repeats = docs.groupBy(row_hash.alias(same)).agg(F.ceil(F.sum(F.octet_length(text_of(docs, text)) + 64) / bucket_bytes).cast("int").alias(parts), F.count(F.lit(1)).alias("n"))
+    repeats = written(repeats.where(f"n > 1 and {parts} > 1").drop("n"), "repeats")
+    n_hot = repeats.count()
+    if n_hot:
+        numbered = scattered.withColumns({same: row_hash, row: F.monotonically_increasing_id()})
+        joined = numbered.join(F.broadcast(repeats) if n_hot <= MOST_HOT else repeats, same, "left")
+        extra = F.pmod(F.xxhash64(F.lit(seed + 2), row), F.coalesce(parts, F.lit(1))) * per_shard
+        scattered = joined.withColumn("bucket", (F.col("bucket") + extra).cast("int")).drop(same, parts, row)
     schema = T.StructType([*scattered.schema.fields, T.StructField("place", T.LongType())])
 
     def mix(group: pa.Table) -> pa.Table:

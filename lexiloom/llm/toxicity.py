@@ -3,7 +3,8 @@
 Positives are the documents confirmed toxic, the rest of the training text counts as unlabelled. With class prior p, the
 risk of a linear scorer over hashed features (words and their beginnings) is p*R+(positives) + max(0, R-(unlabelled) - p*R-(positives)); when
 the second part turns negative, the step goes up it instead (the non-negative correction). Training runs in numpy on
-the driver, on samples bounded by POSITIVES and UNLABELLED documents, chosen by the smallest seeded hash of doc_id.
+the driver, on samples bounded by POSITIVES and UNLABELLED documents, chosen by the smallest seeded hash of doc_id, and by
+MOST_FEATURES features, chosen by counts that Spark sums; a sampled document reaches the driver as one bit a feature.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out: neither their labels nor their texts are learned from.
 
 Defined results: null text is empty and scores like any text without known words; without positive labels the prior is
@@ -17,13 +18,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_lists, written
+
 DIMS = 1 << 20
 #: Lengths of word beginnings that are features beside the words; they stand for stems that inflected words share.
 STEMS = (4, 5, 6)
+#: The samples. Fewer unlabelled rows make rare features of clean text, and so the scores of held-out text, less certain.
 POSITIVES = 8_000
 UNLABELLED = 12_000
 CUT = 0.7
@@ -32,6 +35,8 @@ FOLDS, HELD = 3, 1
 LEAST_SHARE, LEAST_DOCS = 0.002, 3
 #: A feature's share among positives must exceed that among unlabelled texts by so many standard errors.
 DEVIATION = 4.0
+#: Most features of the model: those that lie the most standard errors apart.
+MOST_FEATURES = 1 << 14
 #: Weight of the squared weights in the risk.
 DECAY = 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,19 +55,41 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) & np.uint32(DIMS - 1))
 
 
-def _rows(docs: DataFrame, ids: list[int]) -> dict[int, np.ndarray]:
-    """Features of a bounded list of documents; the executors compute them."""
-    if not ids:
-        return {}
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": np.array(ids, np.int64)})))
+def _sample(docs: DataFrame, pos_ids: list[int], unl_ids: list[int]) -> DataFrame:
+    """Distinct feature sets (at, sorted) of the sampled documents, and whether a positive and an unlabelled one has it: copies count
+    once. Written, as it is read for counts and for bits."""
+    pos, unl = {*pos_ids}, {*unl_ids}
+    chosen = [(i, i in pos, i in unl) for i in sorted(pos | unl)]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, pos boolean, unl boolean"))  # at most POSITIVES + UNLABELLED rows
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            yield batch | {"at": [features(x).astype(np.int32) for x in batch["text"]]}
+
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id").select("id", "pos", "unl", "text")
+    one = map_lists(found, run, "id long, pos boolean, unl boolean, at array<int>").groupBy("id").agg(F.max("at").alias("at"), F.max("pos").alias("pos"), F.max("unl").alias("unl"))
+    return written(one.groupBy("at").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl")), "toxic-sample")
+
+
+def _bits(sample: DataFrame, names: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(positive, unlabelled) rows as places in names; at most MOST_FEATURES bits of each row reach the driver."""
+    place = np.full(DIMS, -1)
+    place[names] = np.arange(len(names))
+    shared = sample.sparkSession.sparkContext.broadcast(place)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "at": [features(x).astype("<u4").tobytes() for x in batch["text"]]})
+            out = []
+            for at in batch["at"]:
+                on = np.zeros(len(names), np.uint8)
+                mine = shared.value[np.array(at, np.int64)]
+                on[mine[mine >= 0]] = 1
+                out.append(np.packbits(on).tobytes())
+            yield {"pos": batch["pos"], "unl": batch["unl"], "bits": out}
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").mapInPandas(run, "doc_id long, at binary")
-    return {r[0]: np.frombuffer(r[1], "<u4").astype(np.int64) for r in found.groupBy("doc_id").agg(F.max("at")).collect()}
+    rows = sorted((bytes(r[2]), r[0], r[1]) for r in map_lists(sample, run, "pos boolean, unl boolean, bits binary").collect())
+    places = [np.flatnonzero(np.unpackbits(np.frombuffer(r[0], np.uint8), count=len(names))) for r in rows]
+    return [p for p, r in zip(places, rows, strict=True) if r[1]], [p for p, r in zip(places, rows, strict=True) if r[2]]
 
 
 class Sparse:
@@ -85,20 +112,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(pos: Sparse, unl: Sparse, w: np.ndarray, b: float, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with the logistic loss: prior * R+(positives), and R-(unlabelled) - prior * R-(positives)."""
+    sp, su = pos.score(w) + b, unl.score(w) + b
+    plus, minus = (lambda s: np.mean(np.logaddexp(0, -s))), (lambda s: np.mean(np.logaddexp(0, s)))  # the losses of +1 and -1
+    return prior * plus(sp), minus(su) - prior * minus(sp)
+
+
+def gradients(pos: Sparse, unl: Sparse, w: np.ndarray, b: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the two parts of the risk; the bias is the last place."""
+    sp, su = _sigmoid(pos.score(w) + b), _sigmoid(unl.score(w) + b)
+    whole = lambda p, u: np.append(pos.back(p, len(w)) + unl.back(u, len(w)), p.sum() + u.sum())
+    return whole(prior * (sp - 1) / pos.n, 0 * su), whole(-prior * sp / pos.n, su / unl.n)
+
+
 def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = DECAY, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Adam on the corrected risk with the logistic loss; returns weights and bias."""
+    """Adam on the corrected risk; where its second part is below -beta, the step goes up that part. Returns weights and bias."""
     w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     for step in range(1, steps + 1):
-        sp, su = _sigmoid(pos.score(w) + b), _sigmoid(unl.score(w) + b)
-        # loss of +1 is -log s, of -1 is -log(1-s)
-        negative = -np.mean(np.log1p(-su * (1 - 1e-9))) + prior * np.mean(np.log1p(-sp * (1 - 1e-9)))
-        gp_plus, gp_minus, gu = prior * (sp - 1) / pos.n, prior * sp / pos.n, su / unl.n
-        if negative >= -beta:
-            p_part, u_part = gp_plus - gp_minus, gu
-        else:  # go up the negative part
-            p_part, u_part = gp_minus, -gu
-        g = np.append(pos.back(p_part, dims) + unl.back(u_part, dims) + decay * w, p_part.sum() + u_part.sum())
+        first, second = gradients(pos, unl, w, b, prior)
+        g = first + second if risk(pos, unl, w, b, prior)[1] >= -beta else -second
+        g = g + decay * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -107,29 +142,27 @@ def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 300, ra
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float, float] | None:
     """Weights over DIMS, bias, and the class prior; None without positive labels."""
-    train = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    train = labels.where(~held_out(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     counts = train.agg(F.count(F.lit(1)), F.sum(F.expr("cast(toxic = 1 as int)"))).first()
     if not counts[1]:
         return None
     prior = min(max(counts[1] / counts[0], 1e-4), 0.9)
     by_hash = (F.xxhash64(F.lit(8), "doc_id"), F.col("doc_id"))
     pos_ids = [r[0] for r in train.where("toxic = 1").orderBy(*by_hash).limit(positives).select("doc_id").collect()]
-    free = docs.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    free = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     unl_ids = [r[0] for r in free.orderBy(*by_hash).limit(unlabelled).collect()]
-    rows = _rows(docs, sorted({*pos_ids, *unl_ids}))
-    pos, unl = ([rows[i] for i in ids if i in rows] for ids in (pos_ids, dict.fromkeys(unl_ids)))
-    if not pos or not unl:
+    sample = _sample(docs, pos_ids, unl_ids)
+    n_pos, n_unl = (int(x or 0) for x in sample.agg(F.sum(F.col("pos").cast("int")), F.sum(F.col("unl").cast("int"))).first())
+    if not n_pos or not n_unl:
         return None
-    pos, unl = ([*{r.tobytes(): r for r in rows}.values()] for rows in (pos, unl))  # copies count once
-    n_pos, n_unl = (np.bincount(np.concatenate(rows), minlength=DIMS) for rows in (pos, unl))
-    often = n_pos + n_unl >= max(LEAST_DOCS, LEAST_SHARE * (len(pos) + len(unl)))
-    p, q, both = n_pos / len(pos), n_unl / len(unl), (n_pos + n_unl) / (len(pos) + len(unl))
-    apart = p - q >= DEVIATION * np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / len(unl)))
-    names = np.flatnonzero(often & apart)
-    place = np.full(DIMS, -1)
-    place[names] = np.arange(len(names))
-    cut = lambda group: Sparse([x[x >= 0] for x in (place[r] for r in group)])
-    w, b = nnpu(cut(pos), cut(unl), len(names), prior)
+    counts = sample.select(F.explode("at").alias("name"), "pos", "unl").groupBy("name").agg(F.sum(F.col("pos").cast("int")).alias("p"), F.sum(F.col("unl").cast("int")).alias("u"))
+    p, q, both = F.col("p") / n_pos, F.col("u") / n_unl, (F.col("p") + F.col("u")) / (n_pos + n_unl)
+    error = F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl))
+    often = F.col("p") + F.col("u") >= max(LEAST_DOCS, LEAST_SHARE * (n_pos + n_unl))
+    apart = counts.where(often & (p - q >= DEVIATION * error)).orderBy(F.desc((p - q) / F.greatest(error, F.lit(1e-12))), "name").limit(MOST_FEATURES)
+    names = np.array(sorted(r[0] for r in apart.select("name").collect()), np.int64)
+    pos, unl = _bits(sample, names)
+    w, b = nnpu(Sparse(pos), Sparse(unl), len(names), prior)
     full = np.zeros(DIMS, np.float32)
     full[names] = w
     return full, b, prior
@@ -140,16 +173,15 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = CUT, **bounds) -> Dat
     model = fit(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         model = shared.value
         for batch in batches:
-            if model is None:
-                s = np.zeros(len(batch))
-            else:
+            s = np.zeros(len(batch["text"]))
+            if model is not None and len(s):
                 w, b, _ = model
-                s = _sigmoid(np.array([float(w[features(x)].sum(dtype=np.float64)) + b for x in batch["text"]], float))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "held_out": batch["held_out"], "score": s})
+                s = _sigmoid(np.array([float(w[features(x)].sum(dtype=np.float64)) + b for x in batch["text"]]))
+            yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": s}
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    out = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    out = map_lists(rows, run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
