@@ -37,8 +37,8 @@ LEAST_SHARE, LEAST_DOCS = 0.002, 3
 DEVIATION = 4.0
 #: Most features of the model: those that lie the most standard errors apart.
 MOST_FEATURES = 1 << 14
-#: Weight of the squared weights in the risk.
-DECAY = 1e-5
+#: Weight of the squared weights in the risk, and Adam's rate; chosen of 16 settings by four folds of the rows that are learned from.
+DECAY, RATE = 1e-4, 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -126,7 +126,7 @@ def gradients(pos: Sparse, unl: Sparse, w: np.ndarray, b: float, prior: float) -
     return whole(prior * (sp - 1) / pos.n, 0 * su), whole(-prior * sp / pos.n, su / unl.n)
 
 
-def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = DECAY, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu(pos: Sparse, unl: Sparse, dims: int, prior: float, steps: int = 300, rate: float = RATE, decay: float = DECAY, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Adam on the corrected risk; where its second part is below -beta, the step goes up that part. Returns weights and bias."""
     w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
