@@ -9,29 +9,43 @@ from pyspark.sql import functions as F
 
 from . import text
 
-#: Rules (pattern, replacement), in order.
-STYLE_REPAIR = (
-    (r"<(u)>([^<]*)</u>-<u>", "<$1>$2-"),
-    (r"</(b|i|u|span)>( *\n *)<\1>", "$2"),
-    (r"</span>([ ,;.]*)<span>", "$1"),
+_W = r"[\p{L}\p{N}_]"
+#: Rules (pattern, replacement), in order: widening of spaced type, then (after JOIN) the gloss type.
+WIDEN = ((rf"(?s)(-?)<sp>(.*?)</sp>({_W}*-?)", "<sp>$1$2$3</sp>"),)
+JOIN = (r"</([^>]*)>(-?\n)<\1>", "$2")
+GLOSS = (
+    (r"(?s)</b></s><b>([ \n,-]*)<s>((?:.(?!/s>))*)</s></b>", "$1$2</b></s>"),
+    (r"</b></s>([ \n,-]*)<s><b>", "$1"),
+    (r"</s>([ \n,:;.()=0-9-]*)<s>", "$1"),
+    (r"([(][ \n=]*)<s>", "<s>$1"),
+    (r"</s>([ \n=,;.:)-]*[,;.:)-](?=[\n ]))", "$1</s>"),
 )
-DEHYPHENATE = ((r" ([^ \n]*[\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "\n$1$2"),)
-STRUCTURE = (
-    (r"\n\n+", "</p>\n\n<p>"),
-    (r" (I|II|III|IV|V|VI)\. ", "<br/>\n$1. "),
-    (r" ([0-9]{1,2})\. (?=\p{Lu})", "<br/>\n$1. "),
-    (r" ([a-h])\. (?=\p{Lu})", "<br/>\n$1. "),
-    (r" — ", "<br/>\n"),
+DEHYPHENATE = ((rf" (\S*{_W})-\n({_W})", "\n$1$2"),)
+#: Tags by their new names, pairs of numbers that show an outline, and the breaks before its items.
+RENAMED = (("sp>", "u>"), ("s>", "span>"))
+OUTLINES = (("I", "II"), ("1", "2"), ("a", "b"))
+BREAKS = (
+    (r"\n—\s|\s—\n", "\n<br/>"),
+    (r"\s—\s", "<br/>"),
+    (r"\n<u>", "\n<br/><u>"),
+    (r"\s<u>", "<br/><u>"),
+    (r"(?s)(<span>(?:.(?!</span>))*)(<br/>[0-9]+\.\s)", "$1</span>$2<span>"),
 )
-#: Times that styles are joined over line ends: a run of so many lines of one style becomes one.
-MOST_JOINS = 8
 
 
 def repair_styles(column: Column) -> Column:
-    """Joins styles over line ends until nothing changes, for runs of up to 2**MOST_JOINS lines."""
-    for _ in range(MOST_JOINS):
-        column = text.apply_rules(column, STYLE_REPAIR)
-    return column
+    """Widens spaced type over hyphens and word ends, joins styles over line ends until nothing changes, and mends the gloss type.
+
+    A pass of JOIN takes the innermost style off every line end, so as many passes as tags open after one line end are enough.
+    """
+    def join(wide: Column) -> Column:
+        opened = F.regexp_extract_all(wide, F.lit(r"\n((?:<[^>]*>)+)"), F.lit(1))
+        passes = F.coalesce(F.array_max(F.transform(opened, lambda t: F.regexp_count(t, F.lit("<")))), F.lit(0))
+        done = F.aggregate(F.sequence(F.lit(0), passes), wide, lambda t, _: F.regexp_replace(t, *JOIN))
+        return done
+
+    wide = text.apply_rules(column, WIDEN)
+    return text.apply_rules(F.get(F.transform(F.array(wide), join), F.lit(0)), GLOSS)
 
 
 def dehyphenate(column: Column) -> Column:
@@ -39,7 +53,12 @@ def dehyphenate(column: Column) -> Column:
 
 
 def structure(column: Column) -> Column:
-    return F.concat(F.lit("<p>"), text.apply_rules(column, STRUCTURE), F.lit("</p>"))
+    """Paragraphs at blank lines, tags by their new names, and breaks before the items of an outline."""
+    out = F.concat(F.lit("<p>"), F.replace(column, F.lit("\n\n"), F.lit("</p>\n\n<p>")), F.lit("</p>"))
+    for old, new in RENAMED:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    outline = tuple((rf"(?s)(\s{a}\.\s(?:.(?!<p>))*?\s—\s{b}\.\s)", " —$1") for a, b in OUTLINES)
+    return text.apply_rules(out, (*outline, *BREAKS))
 
 
 def compile_text(column: Column) -> Column:
@@ -47,11 +66,9 @@ def compile_text(column: Column) -> Column:
 
 
 def positions_of(column: Column, char: str) -> Column:
-    """Places (from 0) of a character, by splitting, not by looking at each place."""
-    parts = F.split(column, char)
-    lengths = F.transform(parts, lambda p: F.length(p) + 1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda a, b: a + b) - 1)
-    return F.slice(ends, F.lit(1), F.size(parts) - 1)
+    """Places (from 0) of a character, in one pass."""
+    at = F.transform(F.split(column, ""), lambda c, i: F.when(c == char, i))
+    return F.filter(at, lambda i: i.isNotNull())
 
 
 def base_name(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache, reduce
 
@@ -86,24 +87,22 @@ def normalise_udf():
 
 def strip_tags_with_map(text: str) -> tuple[str, list[int]]:
     """Text outside tags and its source positions; a < without > stays."""
-    out, places, i = [], [], 0
-    while i < len(text):
-        if text[i] == "<" and (end := text.find(">", i)) >= 0:
-            i = end + 1
-            continue
-        out.append(text[i])
-        places.append(i)
-        i += 1
-    return "".join(out), places
+    edges = [0, *(x for m in re.finditer("<[^>]*>", text) for x in m.span()), len(text)]
+    gaps = [range(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return "".join(text[g.start : g.stop] for g in gaps), [i for g in gaps for i in g]
 
 
 def legacy_orthography(text: Column) -> Column:
     return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), LEGACY, text)
 
 
+#: The signs of metrical feet, short and long.
+FEET = "⏑—"
+
+
 def metrical_join(text: Column) -> Column:
-    """Breves and macrons stand with their neighbours: spaces between metrical feet go; twice, as matches overlap."""
-    step = lambda t: F.regexp_replace(t, r"([˘¯‒]) +([˘¯‒])", "$1$2")
+    """A space between two signs of feet goes; twice, as matches overlap."""
+    step = lambda t: F.regexp_replace(t, f"([{FEET}]) ([{FEET}])", "$1$2")
     return step(step(text))
 
 
@@ -134,18 +133,32 @@ def apply_rules(text: Column, rules: tuple = CLEAN_RULES) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
 
+def is_sense_number(word: Column) -> Column:
+    """Roman numbers, and a capital with a stop."""
+    return F.replace(word, F.lit("<br/>"), F.lit("")).rlike(r"^[IVX]+|^[A-Z]\.")
+
+
 def mark_headwords(text: Column) -> Column:
-    """Headwords in <orth>: after <p> (with an optional roman number), and line-initial bold, underlined or bracketed words."""
+    """Headwords in <orth>: after <p> (with an optional roman number), line-initial bold, underlined or bracketed words, and words
+    with a capital after a line break that are no sense numbers."""
     tagged = r"<[bu]>[^<]*</[bu]>[^ \t\n]*"
     rules = (
         (rf"(?m)^(<p>(?:[IV]+\.[ \t\n]+)?)({tagged}|[^ \t\n]+)", "$1<orth>$2</orth>"),
         (rf"(?m)^({tagged})", "<orth>$1</orth>"),
         (r"(?m)^(\(<[bu]>[^<]*</[bu]>\)?[^ \t\n]*)", "<orth>$1</orth>"),
         (rf"(?m)^(\([{CAPITALS}][^ \t\n]*)", "<orth>$1</orth>"),
+        # a sense number takes the break after it along, so all are marked first, and sense numbers unmarked after
+        (rf"<br/>\n([{CAPITALS}][^ \t\n]*)", "<br/>\n<orth>$1</orth>"),
+        (r"<br/>\n<orth>((?:[IVX]|[A-Z](?:<br/>)*\.)[^ \t\n]*)</orth>", "<br/>\n$1"),
     )
     return apply_rules(text, rules)
 
 
+def tidy_headwords(text: Column) -> Column:
+    """Breaks leave headwords, empty headwords before another go, and an ellipsis belongs to its headword."""
+    return apply_rules(text, ((r"<br/></orth>", "</orth><br/>"), (r"<orth></orth><br/>\n<orth>", "<orth>"), (r"</orth> *…", "…</orth>")))
+
+
 def headword_key(text: Column) -> Column:
     return F.regexp_extract(fold(text), "^[a-z]+", 0)
 

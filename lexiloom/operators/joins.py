@@ -66,12 +66,14 @@ def ordinal_zip(left: DataFrame, right: DataFrame, by: str, left_order: str, rig
     return number(left, left_order).join(number(right, right_order), [by, "k"], "left")
 
 
-def alias_roots(aliases: DataFrame, src: str = "src", dst: str = "dst", deepest: int = 64) -> DataFrame:
-    """src with the root at the end of its chain, by pointer doubling; keys on a cycle, or that lead to one, have root null."""
+def alias_roots(aliases: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """src with the root at the end of its chain, by pointer doubling; keys on a cycle, or that lead to one, have root null.
+
+    The aliases are counted first: no chain is longer than their number, so its logarithm bounds the rounds.
+    """
     edges = aliases.select(F.col(src).alias("src"), F.col(dst).alias("root"))
     heads = edges
-    rounds = max(1, deepest.bit_length())
-    for _ in range(rounds):
+    for _ in range(max(1, edges.count().bit_length())):
         nxt = heads.select(F.col("src").alias("_s"), F.col("root").alias("_r"))
         heads = heads.join(nxt, heads["root"] == nxt["_s"], "left").select("src", F.coalesce("_r", "root").alias("root"))
     inner = aliases.select(F.col(src).alias("_s"))

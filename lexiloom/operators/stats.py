@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +21,28 @@ def characters(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return docs.select(*keep, F.posexplode(F.split(text, "")).alias("i", "ch"))
 
 
-def adjacent_in_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """l, r of neighbouring characters, without a shuffle: pairs are cut from the text they stand in."""
-    chars = docs.select(F.split(text, "").alias("c"))
-    n = F.size("c") - 1
-    both = chars.select(F.arrays_zip(F.slice("c", F.lit(1), n).alias("l"), F.slice("c", F.lit(2), n).alias("r")).alias("p"))
-    return both.select(F.explode("p").alias("p")).select(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
+#: Characters whose pairs are counted together.
+CHUNK = 1 << 20
 
 
-def bigrams(pairs: DataFrame, skip: str = " ", cross: str = "\n") -> DataFrame:
-    """Counts of neighbouring symbols; skip breaks a pair; pairs with the line end do not count."""
-    return pairs.where(~F.col("l").isin(skip, cross) & ~F.col("r").isin(skip, cross)).groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
+def bigrams_of_text(docs: DataFrame, text: str = "text", skip: str = " ", line_end: str = "\n", cross_lines: bool = True) -> DataFrame:
+    """l, r and n: neighbouring characters, counted inside the task before anything is shuffled. skip breaks a pair; a line end
+    doesn't, so a line's last character and the next line's first are a pair, unless cross_lines is False."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = skip.join(t or "" for t in batch.column(0).to_pylist())
+            whole = whole.replace(line_end, "" if cross_lines else skip)
+            codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            for low in range(0, max(0, len(codes) - 1), CHUNK):
+                part = codes[low : low + CHUNK + 1].astype(np.uint64)
+                a, b = part[:-1], part[1:]
+                on = (a != ord(skip)) & (b != ord(skip))
+                pairs, n = np.unique(a[on] << np.uint64(32) | b[on], return_counts=True)
+                sides = [[chr(x) for x in half.tolist()] for half in (pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))]
+                yield pa.RecordBatch.from_arrays([pa.array(sides[0], pa.string()), pa.array(sides[1], pa.string()), pa.array(n, pa.int64())], ["l", "r", "n"])
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "l string, r string, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
 def sample_variance(x: str) -> Column:
@@ -73,22 +86,24 @@ def coverage_sample(units: DataFrame, unit: str, item: str, quota: int, seed: in
     return units.select(unit, item).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= quota).select(unit).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
-    """node and comp, the least node of its component: minimum labels with pointer jumping, checkpointed each round."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and comp, the least node of its component: minimum labels with pointer jumping, checkpointed each round, until no label
+    changes."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp"))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("comp").alias("root"))
         step = low.join(up, "new").select("node", "comp", F.least("new", "root").alias("new")).checkpoint()
         labels = step.select("node", F.col("new").alias("comp"))
         if step.where("new <> comp").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def normal_equations(rows: DataFrame, row: str, col: str, value: str, target: str, weight: str) -> tuple[DataFrame, DataFrame]:

@@ -117,11 +117,29 @@ def rule_chain_clean(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.apply_rules(made)).alias("digest"))
 
 
-@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?m)^(<p>(?:[IV]+\.[ \t\n]+)?)(<[bu]>[^<]*</[bu]>[^ \t\n]*|[^ \t\n]+)', '\1<orth>\2</orth>', 'g'),
-'(?m)^(<[bu]>[^<]*</[bu]>[^ \t\n]*)', '<orth>\1</orth>', 'g'), '(?m)^(\(<[bu]>[^<]*</[bu]>\)?[^ \t\n]*)', '<orth>\1</orth>', 'g'), '(?m)^(\([A-ZĀĂĒĔĪĬŌŎŪŬ][^ \t\n]*)', '<orth>\1</orth>', 'g')) AS digest
-FROM (SELECT page_id, replace(html, '<p>', chr(10) || '<p>') AS s FROM pages)""")
+#: Rule five as an engine without lookaround has it: every capital after a break is marked, then sense numbers are unmarked.
+_HEADS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?m)^(<p>(?:[IV]+\.[ \t\n]+)?)(<[bu]>[^<]*</[bu]>[^ \t\n]*|[^ \t\n]+)', '\1<orth>\2</orth>', 'g'),
+'(?m)^(<[bu]>[^<]*</[bu]>[^ \t\n]*)', '<orth>\1</orth>', 'g'), '(?m)^(\(<[bu]>[^<]*</[bu]>\)?[^ \t\n]*)', '<orth>\1</orth>', 'g'), '(?m)^(\([A-ZĀĂĒĔĪĬŌŎŪŬ][^ \t\n]*)', '<orth>\1</orth>', 'g'),
+'(<br/>\n)([A-ZĀĂĒĔĪĬŌŎŪŬ][^ \t\n]*)', '\1<orth>\2</orth>', 'g'), '(<br/>\n)<orth>((?:[IVX]|[A-Z](?:<br/>)*\.)[^ \t\n]*)</orth>', '\1\2', 'g')"""
+_BROKEN_SQL = "(SELECT page_id, replace(replace(replace(html, '<p>', chr(10) || '<p>'), '<br>', '<br/>' || chr(10)), '. ', '.<br/>' || chr(10)) AS s FROM pages)"
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    s = F.replace(F.replace(F.replace(F.col("html"), F.lit("<p>"), F.lit("\n<p>")), F.lit("<br>"), F.lit("<br/>\n")), F.lit(". "), F.lit(".<br/>\n"))
+    return table(spark, d, "pages").select("page_id", s.alias("s"))
+
+
+@query(f"SELECT page_id, md5({_HEADS_SQL}) AS digest, CAST(len(string_split({_HEADS_SQL}, '<orth>')) - 1 AS INTEGER) AS heads FROM {_BROKEN_SQL}")
 def headword_mark(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(text.mark_headwords(F.replace(F.col("html"), F.lit("<p>"), F.lit("\n<p>")))).alias("digest"))
+    marked = _broken(spark, d).select("page_id", text.mark_headwords(F.col("s")).alias("m"))
+    return marked.select("page_id", F.md5("m").alias("digest"), F.regexp_count("m", F.lit("<orth>")).alias("heads"))
+
+
+@query(f"""SELECT page_id, md5(regexp_replace(replace(replace(replace({_HEADS_SQL}, '</orth> ', '</orth> …'), '<br/></orth>', '</orth><br/>'), '<orth></orth><br/>' || chr(10) || '<orth>', '<orth>'), '</orth> *…', '…</orth>', 'g')) AS digest
+FROM {_BROKEN_SQL}""")
+def headword_tidy(spark, d):
+    marked = F.replace(text.mark_headwords(F.col("s")), F.lit("</orth> "), F.lit("</orth> …"))
+    return _broken(spark, d).select("page_id", F.md5(text.tidy_headwords(marked)).alias("digest"))
 
 
 _KEY_SQL = "regexp_extract(strip_accents(replace(lower(text), 'ß', 'ss')), '^[a-z]+')"
@@ -336,10 +354,10 @@ def unigram_freq(spark, d):
     return stats.unigrams(rows, ["lang"], "ch")
 
 
-@query("""SELECT l, r, count(*) AS n FROM (SELECT substr(text, i, 1) AS l, substr(text, i + 1, 1) AS r FROM documents, range(1, length(text)) AS t(i))
-WHERE l NOT IN (' ', chr(10)) AND r NOT IN (' ', chr(10)) GROUP BY l, r""")
+@query("""SELECT l, r, count(*) AS n FROM (SELECT c[i] AS l, c[i + 1] AS r FROM (SELECT string_split(replace(text, chr(10), ''), '') AS c FROM documents), range(1, len(c)) AS t(i))
+WHERE l <> ' ' AND r <> ' ' GROUP BY l, r""")
 def bigram_freq(spark, d):
-    return stats.bigrams(stats.adjacent_in_text(table(spark, d, "documents")))
+    return stats.bigrams_of_text(table(spark, d, "documents"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 1 ELSE var_samp(l_quantity) END, 4) AS var FROM lineitem GROUP BY 1, 2""")
@@ -398,7 +416,7 @@ def wls_bearings(spark, d):
     return stats.least_squares(rows.union(anchor), "eq", "unknown", "v", "b", "w").select("unknown", F.round("x", 3).alias("x"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_orderkey % 40 = 0), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS reach FROM n UNION SELECT r.node, n.b FROM r JOIN n ON r.reach = n.a) SELECT node, min(reach) AS comp FROM r GROUP BY node""")
 def components(spark, d):
     edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
@@ -461,8 +479,9 @@ def interpolate_top(spark, d):
 # ---- order and lines --------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(length(substr(text, 1, i - 1)) - length(replace(substr(text, 1, i - 1), chr(10), '')) AS BIGINT) AS line_no
-FROM documents, range(1, length(text) + 1) AS t(i) WHERE length(text) < 600 AND substr(text, i, 1) <> chr(10)""")
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - length(line) - 1 AS before FROM l)
+SELECT doc_id, CAST(before + j AS INTEGER) AS i, CAST(k - 1 AS BIGINT) AS line_no FROM o, range(0, length(line)) AS t(j)""")
 def line_ids(spark, d):
     rows = stats.characters(table(spark, d, "documents"), ["doc_id"])
     return boxes.line_ids(rows, ["doc_id"], "i", F.col("ch") == "\n").where(F.col("ch") != "\n").select("doc_id", "i", "line_no")
@@ -661,7 +680,7 @@ def style_viterbi(spark, d):
     return boxes.style_paths(rows, "conv_id", "turn", "o").select("conv_id", "cost")
 
 
-@query("""WITH RECURSIVE c AS (SELECT vec_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, i FROM embeddings, range(1, 65) AS t(i) WHERE abs(embedding[i]) > 0.1 AND vec_id < 100),
+@query("""WITH RECURSIVE c AS (SELECT vec_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, i FROM embeddings, range(1, 65) AS t(i) WHERE abs(embedding[i]) > 0.1),
 r AS (SELECT vec_id, i AS node, i AS reach FROM c UNION SELECT r.vec_id, r.node, b.i FROM r JOIN c a ON a.vec_id = r.vec_id AND a.i = r.reach JOIN c b ON b.vec_id = a.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
 g AS (SELECT vec_id, node, min(reach) AS comp FROM r GROUP BY vec_id, node)
 SELECT vec_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b, count(*) AS n FROM g JOIN c USING (vec_id) WHERE c.i = g.node GROUP BY vec_id, comp""")

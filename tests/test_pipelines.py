@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexiloom.functions import legacy
+from lexiloom.functions import legacy, text
 from lexiloom.operators import boxes, fonts, images
 from lexiloom.plans import pipelines
 
@@ -85,7 +85,7 @@ def test_lexicon(spark):
     kept, scored = pipelines.build_lexicon(spark.createDataFrame(rows, "file_no int, para_no int, html string"), ["file_no", "para_no"])
     assert scored.count() == 2 and [r["para_no"] for r in kept.collect()] == [0]
     made = spark.createDataFrame([("Opaßſig ab-\ncd — e",)], "t string").select(legacy.compile_text(F.col("t")), legacy.positions_of(F.col("t"), " ")).first()
-    assert made[0] == "<p>Opassig\nabcd<br/>\ne</p>" and made[1] == [7, 14, 16]
+    assert made[0] == "<p>Opassig\nabcd<br/>e</p>" and made[1] == [7, 14, 16]
 
 
 def test_nested_lists(spark):
@@ -101,3 +101,24 @@ def test_alignment_is_kept(spark, tmp_path):
         got = pipelines.aligned_once(a, b, "g", "no", "k", f"file://{tmp_path}")
         assert sorted((r["left_no"], r["right_no"]) for r in got.collect()) == [(1, 0), (3, 2), (4, 3)]
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_legacy_rules(spark):
+    """Each rule on a literal of its own; expected texts written from the rules' definition."""
+    cases = [
+        ("feet", "⏑ — ⏑ x", "⏑—⏑ x"), ("styles", "a -<sp>b c</sp>de- f", "a <sp>-b cde-</sp> f"), ("styles", "<i><b>a</b></i>\n<i><b>b</b></i>-\n<i><b>c</b></i>", "<i><b>a\nb-\nc</b></i>"),
+        ("styles", "<s>a</s>, <s>b</s>", "<s>a, b</s>"), ("styles", "(<s>a</s>) b", "<s>(a)</s> b"), ("styles", "<s><b>a</b></s>, <s><b>b</b></s>", "<s><b>a, b</b></s>"),
+        ("hyphens", "x ab-\ncd", "x\nabcd"), ("structure", "a\n\nb", "<p>a</p>\n\n<p>b</p>"), ("structure", "x I. y — II. z", "<p>x<br/>I. y<br/>II. z</p>"), ("structure", "<s>x</s> <sp>y</sp>", "<p><span>x</span><br/><u>y</u></p>"),
+    ]
+    parts = {"feet": text.metrical_join, "styles": legacy.repair_styles, "hyphens": legacy.dehyphenate, "structure": legacy.structure}
+    for name, given, want in cases:
+        got = spark.createDataFrame([(given,)], "t string").select(parts[name](F.col("t"))).first()[0]
+        assert got == want, (name, given, got)
+
+
+def test_headword_rules(spark):
+    cases = [("x<br/>\nFoo y", "x<br/>\n<orth>Foo</orth> y"), ("x<br/>\nIV. y", "x<br/>\nIV. y"), ("x<br/>\nA. y", "x<br/>\nA. y"), ("x<br/>\nĀb. y", "x<br/>\n<orth>Āb.</orth> y"), ("x<br/>\nfoo", "x<br/>\nfoo"), ("x<br/>\nIV.<br/>\nFoo y", "x<br/>\nIV.<br/>\nFoo y")]
+    got = spark.createDataFrame(cases, "t string, want string").select("want", text.mark_headwords(F.col("t")).alias("m")).collect()
+    assert all(r["m"] == r["want"] for r in got), got
+    row = spark.createDataFrame([("<orth>A<br/></orth> …", "IX", "B.", "Ab")], "t string, a string, b string, c string").select(text.tidy_headwords(F.col("t")), *[text.is_sense_number(F.col(c)) for c in "abc"]).first()
+    assert tuple(row) == ("<orth>A</orth><br/> …", True, True, False)
