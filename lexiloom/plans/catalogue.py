@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import senses, text
-from ..operators import boxes, images, joins, lexicon, stats
+from ..operators import boxes, images, joins, lexicon, registry, stats
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -713,3 +713,79 @@ def text_from_boxes(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events").select("user_id", F.row_number().over(w).alias("box_no"), F.substring("event_type", 1, 1).alias("chr"))
     return boxes.text_of_boxes(rows, ["user_id"], "box_no")
+
+
+# ---- tables of a project ----------------------------------------------------------------------------------------------
+
+_CLASS_SQL = "SELECT CAST(p_size % 4 AS INTEGER) AS style, p_brand AS chr, CAST(p_size % 3 AS INTEGER) AS var FROM part"
+_ALIASED_SQL = "SELECT DISTINCT style, chr, var, CAST(0 AS INTEGER) AS target_style, chr AS target_chr, var AS target_var FROM k WHERE style IN (0, 1) AND var = 0"
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select((F.col("p_size") % 4).cast("int").alias("style"), F.col("p_brand").alias("chr"), (F.col("p_size") % 3).cast("int").alias("var"))
+
+
+def _aliased(classes: DataFrame) -> DataFrame:
+    return classes.where("style in (0, 1) and var = 0").distinct().select("style", "chr", "var", F.lit(0).alias("target_style"), F.col("chr").alias("target_chr"), F.col("var").alias("target_var"))
+
+
+@query(f"""WITH k AS ({_CLASS_SQL}), a AS ({_ALIASED_SQL}), u AS (SELECT style, chr, var FROM k UNION SELECT style, chr, var FROM a),
+l AS (SELECT u.*, target_style, target_chr, target_var FROM u LEFT JOIN a USING (style, chr, var)),
+r AS (SELECT style, chr, var, CASE WHEN var = 2 THEN 3 WHEN chr LIKE '%1' THEN NULL ELSE target_style END AS ts, CASE WHEN var <> 2 AND chr LIKE '%1' THEN NULL ELSE target_chr END AS tc, CASE WHEN var <> 2 AND chr LIKE '%1' THEN NULL ELSE target_var END AS tv FROM l)
+SELECT style, chr, var, CAST(coalesce(ts, style) AS INTEGER) AS target_style, coalesce(tc, chr) AS target_chr, coalesce(tv, var) AS target_var FROM r
+WHERE coalesce(ts, style) <> style OR coalesce(tc, chr) <> chr OR coalesce(tv, var) <> var""")
+def alias_edits(spark, d):
+    classes = _classes(spark, d)
+    listed = registry.alias_list(classes, _aliased(classes))
+    reset = registry.reset_aliases(listed, (F.col("var") != 2) & F.col("chr").endswith("1"))
+    return registry.alias_map(registry.restyle_aliases(reset, F.col("var") == 2, 3))
+
+
+@query(f"WITH k AS ({_CLASS_SQL}), a AS ({_ALIASED_SQL}) SELECT max(var) AS max_var, CAST(max(length(chr)) AS INTEGER) AS max_length FROM (SELECT chr, var FROM k UNION ALL SELECT chr, var FROM a)")
+def key_bounds(spark, d):
+    classes = _classes(spark, d)
+    return registry.key_bounds(classes, _aliased(classes))
+
+
+@query("""WITH g AS (SELECT event_id, user_id, CAST(event_id % 8 AS INTEGER) AS style, event_type = 'click' AS blank, row_number() OVER w AS no,
+first_value(CASE WHEN event_type <> 'click' THEN event_id % 8 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CAST(CASE WHEN blank AND no > 1 THEN style & coalesce(after, 0) ELSE style END AS INTEGER) AS style FROM g""")
+def white_space_styles(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    chr_ = F.when(F.col("event_type") == "click", F.lit(boxes.SPACE)).otherwise(F.substring("event_type", 1, 1))
+    rows = table(spark, d, "events").select("event_id", "user_id", F.row_number().over(w).alias("no"), (F.col("event_id") % 8).cast("int").alias("style"), chr_.alias("chr"))
+    return registry.white_space_styles(rows, ["user_id"], "no").select("event_id", "style")
+
+
+@query("""WITH k AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_returnflag <> 'R'),
+h AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM k WHERE k >= n // 2),
+t AS (SELECT l_orderkey, l_quantity AS q FROM h WHERE k = floor((n - 1) * 0.5)) SELECT l_orderkey, l_linenumber, coalesce(q, l_quantity) AS top FROM lineitem LEFT JOIN t USING (l_orderkey)""")
+def straighten_lines(spark, d):
+    chr_ = F.when(F.col("l_returnflag") == "R", F.lit(boxes.SPACE)).otherwise(F.col("l_returnflag"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0).alias("line_no"), chr_.alias("chr"), F.col("l_quantity").alias("t"), F.col("l_extendedprice").alias("corr"))
+    return registry.straighten(rows, ["l_orderkey"]).select("l_orderkey", "l_linenumber", F.col("t").alias("top"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS k FROM events WHERE value > -1) WHERE k = 1")
+def confusable_best(spark, d):
+    return registry.best_candidate(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "value", "event_id")
+
+
+@query(f"SELECT count(*) AS total, count(start) AS attributed, CAST(sum(CASE WHEN start IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM (SELECT l.event_id, max(r.pos) AS start FROM ({_LEFT}) l LEFT JOIN ({_RIGHT}) r ON l.user_id = r.user_id AND r.pos <= l.pos GROUP BY l.event_id)")
+def attribution_coverage(spark, d):
+    return registry.attribution_coverage(block_asof(spark, d), "start")
+
+
+@query(r"""WITH p AS (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS part, unnest(g) AS gap FROM (SELECT doc_id, string_split_regex(s, '
+
++') AS p, list_concat(regexp_extract_all(s, '
+
++'), ['']) AS g
+FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10) || chr(10)) AS s FROM documents))),
+o AS (SELECT *, sum(length(part) + length(gap)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - length(part) - length(gap) AS start FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS part_no, md5(part) AS digest, CAST(start AS BIGINT) AS start FROM o WHERE regexp_matches(part, '[^ 	
+]')""")
+def blank_line_split(spark, d):
+    broken = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n\n"))
+    parts = registry.blank_line_parts(table(spark, d, "documents").select("doc_id", broken.alias("s")), "doc_id", "s")
+    return parts.select("doc_id", "part_no", F.md5("part").alias("digest"), "start")

@@ -191,3 +191,36 @@ def html_document(paras: DataFrame, order: list[str], html: str = "html", title:
     kind = body.schema["no"].dataType
     shell = spark.createDataFrame([({"part": 0}, f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body>'), ({"part": 2}, "</body></html>")], body.schema.__class__([body.schema["no"].__class__("no", kind), body.schema["value"]]))
     return body.unionByName(shell).orderBy("no")
+
+
+def read_rtml(spark: SparkSession, path: str) -> DataFrame:
+    """file, page_no and rtml of project files in order of path; a page that doesn't hold exactly one text is an error."""
+    pages = whole_files(spark, path).select("path", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(<page .*?</page>)"), F.lit(1))).alias("page_no", "page"))
+    texts = F.regexp_extract_all("page", F.lit(r"(?s)<rtml>(.*?)\s*</rtml>"), F.lit(1))
+    one = F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("not one text in a page of "), F.col("path"))))
+    return pages.select("path", "page_no", one.alias("rtml"))
+
+
+#: Suffixes of marked-up texts beside an image, in order.
+TEXT_SUFFIXES = (".rtml", ".txt")
+
+
+def import_texts(spark: SparkSession, images: DataFrame, folder: str) -> DataFrame:
+    """path and rtml for every image path: the text file of its base name in folder, by the first of TEXT_SUFFIXES; null without one. Every
+    line ends with a line end."""
+    base = lambda c: F.regexp_extract(c, r"([^/]*?)(\.[^./]*)?\z", 1)
+    files = whole_files(spark, folder).select(base("path").alias("_base"), F.regexp_extract("path", r"(\.[^./]*)\z", 1).alias("_suffix"), "value")
+    rank = F.array_position(F.array(*map(F.lit, TEXT_SUFFIXES)), F.col("_suffix"))
+    first = files.where(F.col("_suffix").isin(*TEXT_SUFFIXES)).groupBy("_base").agg(F.min_by("value", rank).alias("value"))
+    ended = F.when(F.col("value").endswith("\n"), F.col("value")).otherwise(F.concat("value", F.lit("\n")))
+    return images.select("path", base("path").alias("_base")).join(first, "_base", "left").select("path", ended.alias("rtml"))
+
+
+def add_pages(spark: SparkSession, images: str, texts: str, box_files: str, height: int) -> tuple[DataFrame, DataFrame]:
+    """(pages, boxes): a page for each image file in order of path, with the text and the boxes that stand beside it under its base name."""
+    found = spark.read.format("binaryFile").load(images).select("path")
+    pages = import_texts(spark, found, texts).withColumn("page_no", F.row_number().over(Window.orderBy("path")) - 1)
+    base = lambda c: F.regexp_extract(c, r"([^/]*?)(\.[^./]*)?\z", 1)
+    boxes, _ = read_box_file(spark, box_files, height)
+    numbered = boxes.withColumn("_base", base("path")).drop("path").join(pages.select("page_no", base("path").alias("_base")), "_base").drop("_base")
+    return pages.select("page_no", "path", "rtml"), numbered
