@@ -83,6 +83,7 @@ def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator
         lists = ({n: batch.column(i).to_pylist() for i, n in enumerate(names)} for batch in batches)
         for out in run(lists):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers are reused, and would keep it
 
     return df.mapInArrow(each, struct)
 

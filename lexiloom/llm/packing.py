@@ -31,8 +31,8 @@ SIZE = 4096
 END = 2
 #: Pieces of one length that are ranked together.
 RANKED = 1 << 14
-#: Words kept with their ids in a Python worker; beyond it the table starts anew.
-KEPT_WORDS = 1_200_000
+#: Words kept with their ids in a Python worker, some 100 MB; beyond it the table starts anew. Workers are reused, so it stays with them.
+KEPT_WORDS = 500_000
 #: Texts that are encoded together.
 TEXTS = 1000
 #: The words that the vocabulary file's pattern finds.
