@@ -1,8 +1,9 @@
 """Byte-level BPE: encoding and decoding by a literal rank map.
 
 Texts are split by the vocabulary's pattern. The merges of a word are a fold (aggregate) over its byte array: the state
-holds the piece ids and the rank of each neighbouring pair; a step merges the leftmost pair of the lowest rank and looks up
-the one or two pairs that are new. Ranks of pairs are a literal of the plan: BUCKETS short arrays of pair keys and ids.
+is one array of whole numbers, each of them a piece: the rank of the pair that it makes with the next piece, its place in the
+word, its id. So the least one is the leftmost pair of the lowest rank; a step merges it and looks up the one or two pairs that are new.
+Ranks of pairs are a literal of the plan: BUCKETS short maps from pairs to ids.
 
 A fold over n bytes copies n ids a step, so a word of over LONG bytes is folded in parts: first cut at every LONG bytes, then
 again with cuts between two ids in the middle of each part. Ids are the whole word's if each two neighbours are what their own bytes fold to;
@@ -35,14 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import Finder, map_lists, written
 
-BUCKETS = 1 << 15
+BUCKETS = 32749
 #: Most frequent words in the broadcast table, of at most KEPT_CHARS characters: under 80 MB whatever the corpus.
 KEPT, KEPT_CHARS = 1 << 19, 32
 #: Bytes of text in a block of documents.
 BLOCK = 1 << 20
 #: Bytes of a word that are folded at once; no piece of the vocabulary may be as long.
 LONG = 256
-_NONE = 1 << 30
+#: Bits of an id and of a place in the word; the rank stands above them. Pairs that don't merge have the rank _NONE.
+ID_BITS, PLACE_BITS = 17, 29
+_NONE = (1 << ID_BITS) - 1
 #: The vocabulary's pattern, its classes spelt out for engines with other ideas of white space.
 WORDS = r" ?[\p{L}]+| ?[\p{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^<white>\p{L}\p{N}]+|[<white>]+(?![^<white>])|[<white>]+"
 
@@ -63,26 +66,22 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _bucket(left, right):
-    return (left * 40503 + right * 30011) % BUCKETS
-
-
 @lru_cache(4)
 def _literals(path: str) -> tuple[str, ...]:
-    """JSON of the merged ids of two bytes, of the byte ids, of the pair keys and merged ids by bucket, and of the bytes of an id."""
+    """JSON of the merged ids of two bytes, of the byte ids, of the merged ids by pair in each bucket, and of the bytes of an id."""
     ranks = load_ranks(path)
+    if max(ranks.values()) >= _NONE:
+        raise ValueError(f"ids must be below {_NONE}")
     two = [ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]
-    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-    ids: list[list[int]] = [[] for _ in range(BUCKETS)]
+    pairs: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
-                at = _bucket(left, right)
-                keys[at].append(left * 65536 + right)
-                ids[at].append(rank)
+                pair = (left << ID_BITS) + right
+                pairs[pair % BUCKETS][pair] = rank
     spell = lambda x: json.dumps(x, separators=(",", ":"))
-    return spell(two), spell([ranks[bytes([b])] for b in range(256)]), spell(keys), spell(ids), spell([*map(len, pieces(path))])
+    return spell(two), spell([ranks[bytes([b])] for b in range(256)]), spell(pairs), spell([*map(len, pieces(path))])
 
 
 def _let(value: Column, use) -> Column:
@@ -95,19 +94,17 @@ class Merger:
     plan once: within(use) binds it, and use(fold) is computed where it is bound."""
 
     def __init__(self, path: str):
-        two, of_byte, keys, ids, sizes = _literals(path)
-        typed = {"two": (two, "array<int>"), "of_byte": (of_byte, "array<int>"), "keys": (keys, "array<array<bigint>>"), "ids": (ids, "array<array<int>>"), "sizes": (sizes, "array<int>")}
+        two, of_byte, pairs, sizes = _literals(path)
+        typed = {"two": (two, "array<int>"), "of_byte": (of_byte, "array<int>"), "pairs": (pairs, "array<map<string,int>>"), "sizes": (sizes, "array<int>")}
         self.tables = F.struct(*[F.from_json(F.lit(x), t).alias(n) for n, (x, t) in typed.items()])
 
     def within(self, use) -> Column:
         return _let(self.tables, lambda t: use(lambda raw: self.fold(t, raw)))
 
     def rank(self, t: Column, left: Column, right: Column) -> Column:
-        """The id of the merged pair, _NONE if there is none."""
-        left, right = left.cast("long"), right.cast("long")
-        h = ((left * 40503 + right * 30011) % BUCKETS).cast("int")
-        at = F.array_position(F.get(t["keys"], h), left * 65536 + right)
-        return F.coalesce(F.get(F.get(t["ids"], h), (at - 1).cast("int")), F.lit(_NONE))
+        """The id of the merged pair of ids (long), _NONE if there is none or one of them is null."""
+        found = _let(F.shiftleft(left, ID_BITS) + right, lambda pair: F.get(t["pairs"], (pair % BUCKETS).cast("int"))[pair.cast("string")])
+        return F.coalesce(found, F.lit(_NONE)).cast("long")
 
     def fold(self, t: Column, raw: Column) -> Column:
         n = F.size(raw)
@@ -115,26 +112,30 @@ class Merger:
         return F.when(n <= 1, single).when(n <= LONG, self.short(t, raw)).otherwise(self.long(t, raw))
 
     def short(self, t: Column, raw: Column) -> Column:
-        n = F.size(raw)
-        first = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(t["two"], F.get(raw, i - 1) * 256 + F.get(raw, i)))
-        start = F.struct(F.transform(raw, lambda b: F.get(t["of_byte"], b)).alias("ids"), first.alias("ranks"))
+        low = ID_BITS + PLACE_BITS
+        id_of = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
+        ranked = lambda rank, rest: F.shiftleft(rank, low).bitwiseOR(rest)
+        below = lambda x: x.bitwiseAND(F.lit((1 << low) - 1))
+
+        def piece(byte: Column, i: Column) -> Column:
+            rank = F.coalesce(F.get(t["two"], byte * 256 + F.get(raw, i + 1)), F.lit(_NONE))
+            return ranked(rank.cast("long"), F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(t["of_byte"], byte).cast("long")))
 
-        def merge(state: Column, best: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
+        def merge(state: Column, least: Column) -> Column:
+            best = F.shiftright(least, low)
 
             def at(p: Column) -> Column:
-                whole = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, F.size(ids)))
-                before = F.when(p > 1, F.array(self.rank(t, F.get(ids, p - 2), best))).otherwise(F.slice(ids, F.lit(1), F.lit(0)))
-                after = F.when(p + 1 < F.size(ids), F.array(self.rank(t, best, F.get(ids, p + 1)))).otherwise(F.slice(ids, F.lit(1), F.lit(0)))
-                rest = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, F.size(ids)))
-                return F.struct(whole.alias("ids"), rest.alias("ranks"))
+                before = F.get(state, p - 1)
+                joined = ranked(self.rank(t, best, id_of(F.get(state, p + 2))), below(least) - id_of(least) + best)
+                new = lambda x: F.when(x == least, joined).when(x == before, ranked(self.rank(t, id_of(before), best), below(before))).otherwise(x)
+                return F.transform(F.array_remove(state, F.get(state, p + 1)), new)
 
-            return _let(F.array_position(ranks, best).cast("int"), at)
+            return _let((F.array_position(state, least) - 1).cast("int"), at)
 
         def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state["ranks"]), lambda b: F.when(b < _NONE, merge(state, b)).otherwise(state))
+            return _let(F.array_min(state), lambda least: F.when(least < (_NONE << low), merge(state, least)).otherwise(state))
 
-        return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["ids"])
+        return F.aggregate(F.slice(raw, F.lit(2), F.size(raw)), F.transform(raw, piece), step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
     def long(self, t: Column, raw: Column) -> Column:
         """Tries parts of LONG and of 8 * LONG bytes, then the whole word."""
