@@ -78,3 +78,21 @@ def alias_roots(aliases: DataFrame, src: str = "src", dst: str = "dst") -> DataF
         heads = heads.join(nxt, heads["root"] == nxt["_s"], "left").select("src", F.coalesce("_r", "root").alias("root"))
     inner = aliases.select(F.col(src).alias("_s"))
     return heads.join(inner, heads["root"] == inner["_s"], "left").select("src", F.when(F.col("_s").isNull(), F.col("root")).alias("root"))
+
+
+def copy_pairs(docs: DataFrame, key: str, text: str = "text", words: int = 5, tenths: int = 8) -> DataFrame:
+    """first and later: each row with the least row that is a near copy of it by word shingles, at most one pair a row.
+
+    Of two texts whose sets of shingles are alike by tenths/10, each holds one of the other's shingles among its own n - ceil(n*tenths/10) + 1
+    lowest hashes. A row's candidates are the first holders of these hashes, so no group is ever paired with itself; candidates are then
+    compared over all shingles. Texts of fewer words, and null ones, have no pairs."""
+    every = F.filter(F.split(F.col(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(words))))
+    sets = F.get(F.transform(F.array(every), lambda w: F.when(F.size(w) >= words, F.sort_array(F.array_distinct(hashes(w))))), 0)
+    rows = docs.select(F.col(key).alias("later"), sets.alias("s")).where("s is not null and later is not null")
+    held = rows.select("later", F.explode(F.slice("s", 1, F.expr(f"CAST(size(s) - (size(s) * {tenths} + 9) div 10 + 1 AS INT)"))).alias("h"))
+    firsts = held.groupBy("h").agg(F.min("later").alias("first"), F.max("later").alias("last")).where("first < last").drop("last")
+    near = held.join(firsts, "h").where("first < later").select("first", "later").distinct()
+    heads = rows.select(F.col("later").alias("first"), F.col("s").alias("t"))
+    both = near.join(rows, "later").join(heads, "first").withColumn("n", F.size(F.array_intersect("s", "t")))
+    return both.where(f"10 * n >= {tenths} * (size(s) + size(t) - n)").groupBy("later").agg(F.min("first").alias("first")).select("first", "later")

@@ -336,11 +336,11 @@ def ordinal_zip(spark, d):
 
 @query()
 def matching_blocks(spark, d):
-    docs = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
-    a, b = docs.withColumnsRenamed({"doc_id": "a_id", "text": "a"}), docs.withColumnsRenamed({"doc_id": "b_id", "text": "b"})
-    firsts = a.groupBy("head").agg(F.min("a_id").alias("a_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = firsts.join(a.drop("head"), "a_id").join(b, "head").where("a_id < b_id").withColumn("pair", F.concat_ws("-", F.col("a_id").cast("string"), F.col("b_id").cast("string")))
-    return lexicon.matching_blocks(pairs, "pair")
+    """Every document that has a near copy before it, whole texts on both sides."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    pairs = joins.copy_pairs(docs, "doc_id")
+    both = pairs.join(docs.toDF("first", "a"), "first").join(docs.toDF("later", "b"), "later")
+    return lexicon.matching_blocks(both.withColumn("pair", F.concat_ws("-", F.col("first").cast("string"), F.col("later").cast("string"))), "pair")
 
 
 # ---- counts and statistics --------------------------------------------------------------------------------------------
@@ -784,7 +784,8 @@ def attribution_coverage(spark, d):
 FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10) || chr(10)) AS s FROM documents))),
 o AS (SELECT *, sum(length(part) + length(gap)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - length(part) - length(gap) AS start FROM p)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS part_no, md5(part) AS digest, CAST(start AS BIGINT) AS start FROM o WHERE regexp_matches(part, '[^ 	
-]')""")
+
+]')""")
 def blank_line_split(spark, d):
     broken = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n\n"))
     parts = registry.blank_line_parts(table(spark, d, "documents").select("doc_id", broken.alias("s")), "doc_id", "s")
