@@ -228,21 +228,20 @@ def style_paths(tokens: DataFrame, by: str, order: str, candidates: str) -> Data
     return tokens.groupBy(by).applyInPandas(run, f"{by} {kind}, path array<int>, cost int")
 
 
-def eliminate_overlaps(rows: DataFrame, by: list[str], order: str, bands: tuple = ((0.8, 0), (0.5, 10), (0.25, 30))) -> DataFrame:
+def eliminate_overlaps(rows: DataFrame, by: list[str], order: str | list[str], bands: tuple = ((0.8, 0), (0.5, 10), (0.25, 30))) -> DataFrame:
     """Goes through neighbours in order; of two that share more of the narrower one's width than a band's share, at a difference of
     corr of at least the band's, the weaker goes, and the survivor meets the next."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(order, kind="stable")
         keep: list[int] = []
-        g = group.sort_values(order).reset_index(drop=True)
-        for i in range(len(g)):
+        places = list(zip(*(g[c].tolist() for c in ("l", "r", "corr")), strict=True))
+        for i, (l, r, corr) in enumerate(places):  # noqa: E741
             if keep:
-                a, b = g.iloc[keep[-1]], g.iloc[i]
-                shared = min(a["r"], b["r"]) - max(a["l"], b["l"])
-                width = max(1, min(a["r"] - a["l"], b["r"] - b["l"]))
-                if any(shared > s * width and abs(a["corr"] - b["corr"]) >= d for s, d in bands):
-                    if b["corr"] > a["corr"]:
-                        keep[-1] = i
+                left, right, known = places[keep[-1]]
+                shared, width = min(right, r) - max(left, l), max(1, min(right - left, r - l))
+                if any(shared > s * width and abs(known - corr) >= d for s, d in bands):
+                    keep[-1] = i if corr > known else keep[-1]
                     continue
             keep.append(i)
         return g.iloc[keep]

@@ -233,13 +233,14 @@ def split_paragraphs(paras: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def align_greedy(left: DataFrame, right: DataFrame, group: str, order: str, key: str, ahead: int = 20) -> DataFrame:
-    """Monotone join in each group: a left row takes the first right row of its key among the next ahead ones after the last match."""
+    """Monotone join in each group: a left row takes the first right row of its key among the next ahead ones after the last match.
+    A left row without a key takes none. A group (a volume, a block of pages) is one task, so it must be of bounded size."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(order), b.sort_values(order)
         keys, at, out = b[key].tolist(), 0, []
         for row, k in zip(a[order], a[key], strict=True):
-            hit = next((j for j in range(at, min(at + ahead, len(keys))) if keys[j] == k), None)
+            hit = next((j for j in range(at, min(at + ahead, len(keys))) if k and keys[j] == k), None)
             if hit is not None:
                 out.append((a[group].iloc[0], row, b[order].iloc[hit]))
                 at = hit + 1

@@ -76,12 +76,13 @@ def quantile_upper(rows: DataFrame, by: list[str], value: str, at: float) -> Dat
 
 
 def hash_order(key: Column, seed: int = 42) -> Column:
-    """A fixed random order."""
-    return F.xxhash64(F.lit(seed), key)
+    """A fixed random order, by a digest that any engine has."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
 def coverage_sample(units: DataFrame, unit: str, item: str, quota: int, seed: int = 42) -> DataFrame:
-    """Units that hold, for each item, the first quota units in a fixed random order; so rare items keep all theirs."""
+    """Units that hold, for each item, the first quota units in a fixed random order; so rare items keep all theirs.
+    The limit on row numbers is applied in each task before the shuffle, so an item of every unit sends at most quota rows a task."""
     w = Window.partitionBy(item).orderBy(hash_order(F.col(unit), seed), unit)
     return units.select(unit, item).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= quota).select(unit).distinct()
 

@@ -202,7 +202,7 @@ def report_txt(spark, d):
     return lexicon.report_lines(_scored(spark, d)).select("page_id", "para_no", "score", "headword", "line").orderBy(F.desc("score"), "headword")
 
 
-@query()
+@query(_SCORE_SQL + """SELECT page_id, para_no, to_json({'score': score, 'headword': headword, 'paragraph_preview': substr(content, 1, 200), 'features': {'span_count': span_count, 'text_length': text_length, 'orth_count': orth_count, 'has_se_span': has_se_span, 'has_bare_se': has_bare_se, 'has_ol': has_ol, 'only_se_spans': only_se_spans, 'has_bold_orth': has_bold_orth, 'has_underline_orth': has_underline_orth, 'has_definition_span': has_definition_span, 'has_citations': has_citations, 'headword_ellipsis': headword_ellipsis, 'collector_entry': collector_entry, 'duplicate_headword': duplicate_headword}}) AS json FROM s""")
 def report_json(spark, d):
     return lexicon.report_json(_scored(spark, d)).select("page_id", "para_no", "json").orderBy("page_id", "para_no")
 
@@ -280,12 +280,21 @@ def normalize_with_map(spark, d):
 # ---- joins ------------------------------------------------------------------------------------------------------------
 
 
-@query()
+_VOLUME = "lang || '-' || (doc_id // 1000)"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT {_VOLUME} AS volume, doc_id, {_KEY_SQL} AS k, {_KEY_SQL.replace("lower(text)", "lower(regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10), ''))")} AS k2 FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY doc_id) AS i FROM x), b AS (SELECT volume, list(k2 ORDER BY doc_id) AS ks, list(doc_id ORDER BY doc_id) AS ids FROM x GROUP BY volume),
+s AS (SELECT volume, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS left_no, CAST(NULL AS BIGINT) AS right_no FROM b
+UNION ALL SELECT volume, i, pos + hit, doc_id, CASE WHEN hit > 0 THEN ids[pos + hit] END FROM
+(SELECT s.volume, l.i, s.pos, l.doc_id, b.ids, CAST(coalesce(list_position(b.ks[s.pos + 1 : s.pos + 20], nullif(l.k, '')), 0) AS BIGINT) AS hit FROM s JOIN l ON l.volume = s.volume AND l.i = s.i + 1 JOIN b ON b.volume = s.volume))
+SELECT volume, left_no, right_no FROM s WHERE right_no IS NOT NULL""")
 def headword_align_greedy(spark, d):
-    docs = table(spark, d, "documents")
-    keys = docs.select("lang", "doc_id", text.headword_key(F.col("text")).alias("k"))
-    others = docs.where("doc_id % 3 <> 0").select("lang", "doc_id", text.headword_key(F.col("text")).alias("k"))
-    return lexicon.align_greedy(keys, others, "lang", "doc_id", "k")
+    """First words of all documents against first words of their second lines, in volumes of a thousand ids."""
+    docs = table(spark, d, "documents").select(F.concat_ws("-", "lang", F.expr("doc_id div 1000").cast("string")).alias("volume"), "doc_id", "text")
+    later = docs.withColumn("text", F.regexp_replace("text", "^[^\n]*\n", ""))
+    keyed = lambda side: side.select("volume", "doc_id", text.headword_key(F.col("text")).alias("k"))
+    return lexicon.align_greedy(keyed(docs), keyed(later), "volume", "doc_id", "k")
 
 
 def _positions(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -423,9 +432,10 @@ def components(spark, d):
     return stats.components(edges)
 
 
-@query()
+@query("""WITH u AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\f\r]+')) AS w FROM documents)
+SELECT DISTINCT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY w ORDER BY md5('42:' || doc_id), doc_id) AS k FROM u) WHERE k <= 50""")
 def coverage_sample(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \t\n\f\r]+"))).alias("w"))
     return stats.coverage_sample(words, "doc_id", "w", 50)
 
 
@@ -530,7 +540,22 @@ def dbscan_nd(spark, d):
     return stats.components(boxes.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.112, blocks=4))
 
 
-@query()
+#: Pages of 64 order numbers, so that a page has no more boxes at a larger scale.
+_BOX_SQL = """SELECT l_orderkey // 64 AS page, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS key, l_extendedprice AS score,
+CAST(l_partkey % 300 AS BIGINT) AS l, CAST(l_partkey % 300 + l_quantity AS BIGINT) AS r, CAST(l_suppkey * 3 AS BIGINT) AS t, CAST(l_suppkey * 3 + 20 AS BIGINT) AS b FROM lineitem"""
+
+
+def _greedy_sql(order: str, clash: str) -> str:
+    """Box after box of a page in order; kept is the list of those that stay, clash a condition on one of them (z) and the next (b)."""
+    return f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS k FROM ({_BOX_SQL})),
+g AS (SELECT page, k, key, true AS ok, [{{'l': l, 'r': r, 't': t, 'b': b}}] AS kept FROM b WHERE k = 1
+UNION ALL SELECT page, k, key, ok, CASE WHEN ok THEN list_append(kept, box) ELSE kept END FROM
+(SELECT b.page, b.k, b.key, {{'l': b.l, 'r': b.r, 't': b.t, 'b': b.b}} AS box, g.kept, len(list_filter(g.kept, lambda z: {clash})) = 0 AS ok FROM g JOIN b ON b.page = g.page AND b.k = g.k + 1))
+SELECT page, key FROM g WHERE ok"""
+
+
+@query(_greedy_sql("score DESC, t, l, key", """greatest(0, least(z['r'], b.r) - greatest(z['l'], b.l)) * greatest(0, least(z['b'], b.b) - greatest(z['t'], b.t))
+> 0.25 * least((z['r'] - z['l']) * (z['b'] - z['t']), (b.r - b.l) * (b.b - b.t))"""))
 def nms_overlap(spark, d):
     rows = _rectangles(spark, d)
     return boxes.nms(rows, ["page"], "score", "key").select("page", "key")
@@ -538,19 +563,25 @@ def nms_overlap(spark, d):
 
 def _rectangles(spark: SparkSession, d: str) -> DataFrame:
     it = table(spark, d, "lineitem")
-    return it.select((F.col("l_orderkey") % 500).alias("page"), F.concat_ws("-", *[F.col(c).cast("string") for c in _ITEM]).alias("key"), F.col("l_extendedprice").alias("score"), (F.col("l_partkey") % 300).cast("long").alias("l"), (F.col("l_partkey") % 300 + F.col("l_quantity")).cast("long").alias("r"), (F.col("l_suppkey") * 3).cast("long").alias("t"), (F.col("l_suppkey") * 3 + 20).cast("long").alias("b"))
+    return it.select(F.expr("l_orderkey div 64").alias("page"), F.concat_ws("-", *[F.col(c).cast("string") for c in _ITEM]).alias("key"), F.col("l_extendedprice").alias("score"), (F.col("l_partkey") % 300).cast("long").alias("l"), (F.col("l_partkey") % 300 + F.col("l_quantity")).cast("long").alias("r"), (F.col("l_suppkey") * 3).cast("long").alias("t"), (F.col("l_suppkey") * 3 + 20).cast("long").alias("b"))
 
 
-@query()
+@query(_greedy_sql("score DESC, key", "abs(z['l'] - b.l) <= 9 AND abs(z['t'] - b.t) <= 9"))
 def peak_suppress(spark, d):
     rows = _rectangles(spark, d).select("page", "key", "score", F.col("l").alias("x"), F.col("t").alias("y"))
     return boxes.peak_suppress(rows, ["page"], "score", "key").select("page", "key")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT *, score % 100 AS corr, row_number() OVER (PARTITION BY page ORDER BY l, key) AS k FROM ({_BOX_SQL})),
+g AS (SELECT page, k, CAST(1 AS BIGINT) AS slot, l, r, corr, key FROM b WHERE k = 1
+UNION ALL SELECT page, k, CASE WHEN clash THEN slot ELSE slot + 1 END, CASE WHEN old THEN l ELSE bl END, CASE WHEN old THEN r ELSE br END, CASE WHEN old THEN corr ELSE bcorr END, CASE WHEN old THEN key ELSE bkey END FROM
+(SELECT *, clash AND bcorr <= corr AS old FROM (SELECT *, shared > CAST(0.8 AS DOUBLE) * width OR shared > 0.5 * width AND abs(corr - bcorr) >= 10 OR shared > 0.25 * width AND abs(corr - bcorr) >= 30 AS clash FROM
+(SELECT b.page, b.k, g.slot, g.l, g.r, g.corr, g.key, b.l AS bl, b.r AS br, b.corr AS bcorr, b.key AS bkey, least(g.r, b.r) - greatest(g.l, b.l) AS shared, greatest(1, least(g.r - g.l, b.r - b.l)) AS width
+FROM g JOIN b ON b.page = g.page AND b.k = g.k + 1))))
+SELECT page, key FROM (SELECT page, key, row_number() OVER (PARTITION BY page, slot ORDER BY k DESC) AS last FROM g) WHERE last = 1""")
 def adjacent_overlaps(spark, d):
     rows = _rectangles(spark, d).withColumn("corr", (F.col("score") % 100).cast("double"))
-    return boxes.eliminate_overlaps(rows.withColumn("page", F.col("page") % 100), ["page"], "l", ((0.8, 0), (0.5, 10), (0.25, 30))).select("page", "key")
+    return boxes.eliminate_overlaps(rows, ["page"], ["l", "key"], ((0.8, 0), (0.5, 10), (0.25, 30))).select("page", "key")
 
 
 # ---- classes, aliases and edits ---------------------------------------------------------------------------------------

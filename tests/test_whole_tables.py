@@ -1,7 +1,18 @@
 """Queries over whole tables against brute force."""
 
+import collections
+import functools
+import hashlib
+import random
+import re
+import unicodedata
+from difflib import SequenceMatcher
+
+import numpy as np
 import pandas as pd
 
+from lexiloom.functions.text import SPELT
+from lexiloom.operators import joins, lexicon
 from lexiloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +69,68 @@ def test_segments_of_all_images(spark):
             xs, ys = zip(*group, strict=True)
             want.append((vec, min(xs), max(xs), min(ys), max(ys), len(group)))
     assert rows(spark, "segment_components") == sorted(want)
+
+
+def shingles(text):
+    w = [x for x in re.split("[ \t\n\x0b\f\r]+", text or "") if x]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies_and_their_blocks(spark):
+    docs = dict(read("documents")[["doc_id", "text"]].itertuples(index=False))
+    sets = {k: s for k, t in docs.items() if (s := shingles(t))}
+    holders = collections.defaultdict(list)
+    for k in sorted(sets):
+        for s in sets[k]:
+            holders[s].append(k)
+    near = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    want = {b: min(hits) for b in sets if (hits := {a for s in sets[b] for a in holders[s] if a < b and near(a, b)})}
+    got = {r.later: r.first for r in joins.copy_pairs(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").collect()}
+    assert want and got == want
+    short = {b: a for b, a in want.items() if len(docs[b]) < 8000}
+    blocks = sorted((f"{a}-{b}", *m) for b, a in short.items() for m in SequenceMatcher(None, docs[a], docs[b], False).get_matching_blocks() if m.size)
+    whole = catalogue.QUERIES["matching_blocks"](spark, DATA).collect()
+    assert {r.pair for r in whole} == {f"{a}-{b}" for b, a in want.items()}
+    assert sorted(tuple(r) for r in whole if int(r.pair.split("-")[1]) in short) == blocks
+
+
+def test_copy_pairs_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, long, 0), (2, long + " end", 0), (3, None, 0), (4, "", 0), (5, "a b c d", 0), (6, "a b c d", 0), (7, "a b c d e", 0), (8, " a  b\nc d e ", 0), (None, "a b c d e", 0)]
+    df = spark.createDataFrame(rows, "id long, body string, first int")
+    assert sorted(map(tuple, joins.copy_pairs(df, "id", "body").collect())) == [(1, 2), (7, 8)]
+    assert joins.copy_pairs(df.limit(0), "id", "body").collect() == []
+
+
+def test_common_blocks_equal_difflib(monkeypatch):
+    rng = random.Random(1)
+    for cells in (0, 1 << 14):
+        monkeypatch.setattr(lexicon, "SMALL_SLICE", cells)
+        for t in range(200):
+            letters = "ab" if t % 3 else "abcdeé\U0001f600 "
+            draw = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(120)))  # noqa: E731, B023
+            x = draw()
+            y = x[: rng.randrange(len(x) + 1)] + draw()[:9] + x[rng.randrange(len(x) + 1) :] if t % 4 else draw()
+            assert lexicon.common_blocks(x, y) == [tuple(m) for m in SequenceMatcher(None, x, y, False).get_matching_blocks() if m.size]
+
+
+def test_normaliser_of_all_documents(spark):
+    want = []
+    for doc, text in read("documents")[["doc_id", "text"]].itertuples(index=False):
+        spelt = functools.reduce(lambda t, e: t.replace(*e), SPELT, (text or "").lower())
+        norm = "".join(c for c in unicodedata.normalize("NFKD", spelt) if unicodedata.category(c) != "Mn")
+        want.append((doc, hashlib.md5(norm.encode()).hexdigest(), len(norm)))
+    assert sorted(map(tuple, catalogue.QUERIES["normalize_with_map"](spark, DATA).collect())) == sorted(want)
+
+
+def test_bearings_equal_a_library(spark):
+    c = read("customer").groupby(["c_nationkey", "c_mktsegment"])["c_acctbal"].agg(["mean", "size"]).reset_index()
+    names = sorted({f"n{n}" for n in c["c_nationkey"]} | {f"s{s}" for s in c["c_mktsegment"]})
+    m, v = np.zeros((len(c) + 1, len(names))), np.zeros(len(c) + 1)
+    for i, (nation, segment, mean, n) in enumerate(c.itertuples(index=False)):
+        root = np.sqrt(n)
+        m[i, names.index(f"n{nation}")], m[i, names.index(f"s{segment}")], v[i] = root, root, root * mean
+    m[-1, names.index("sBUILDING")] = np.sqrt(1000)
+    want = dict(zip(names, np.linalg.lstsq(m, v, rcond=None)[0], strict=True))
+    got = {r.unknown: r.x for r in catalogue.QUERIES["wls_bearings"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
