@@ -3,7 +3,8 @@
 Texts are split by the vocabulary's pattern. The merges of a word are a fold (aggregate) over its byte array: the state
 is one array of whole numbers, each of them a piece: the rank of the pair that it makes with the next piece, its place in the
 word, its id. So the least one is the leftmost pair of the lowest rank; a step merges it and looks up the one or two pairs that are new.
-Ranks of pairs are a literal of the plan: BUCKETS short maps from pairs to ids.
+Ranks of pairs are a literal of the plan: BUCKETS short arrays, each the mark of a pair that doesn't merge, then a pair and what it
+merges to, negative, and so on; so what stands after the place of a pair (0 if it isn't there) is the answer.
 
 A fold over n bytes copies n ids a step, so a word of over LONG bytes is folded in parts: first cut at every LONG bytes, then
 again with cuts between two ids in the middle of each part. Ids are the whole word's if each two neighbours are what their own bytes fold to;
@@ -73,13 +74,13 @@ def _literals(path: str) -> tuple[str, ...]:
     if max(ranks.values()) >= _NONE:
         raise ValueError(f"ids must be below {_NONE}")
     two = [ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]
-    pairs: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+    pairs: list[list[int]] = [[-_NONE] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
                 pair = (left << ID_BITS) + right
-                pairs[pair % BUCKETS][pair] = rank
+                pairs[pair % BUCKETS] += [pair, -rank]
     spell = lambda x: json.dumps(x, separators=(",", ":"))
     return spell(two), spell([ranks[bytes([b])] for b in range(256)]), spell(pairs), spell([*map(len, pieces(path))])
 
@@ -95,7 +96,7 @@ class Merger:
 
     def __init__(self, path: str):
         two, of_byte, pairs, sizes = _literals(path)
-        typed = {"two": (two, "array<int>"), "of_byte": (of_byte, "array<int>"), "pairs": (pairs, "array<map<string,int>>"), "sizes": (sizes, "array<int>")}
+        typed = {"two": (two, "array<int>"), "of_byte": (of_byte, "array<int>"), "pairs": (pairs, "array<array<long>>"), "sizes": (sizes, "array<int>")}
         self.tables = F.struct(*[F.from_json(F.lit(x), t).alias(n) for n, (x, t) in typed.items()])
 
     def within(self, use) -> Column:
@@ -103,8 +104,9 @@ class Merger:
 
     def rank(self, t: Column, left: Column, right: Column) -> Column:
         """The id of the merged pair of ids (long), _NONE if there is none or one of them is null."""
-        found = _let(F.shiftleft(left, ID_BITS) + right, lambda pair: F.get(t["pairs"], (pair % BUCKETS).cast("int"))[pair.cast("string")])
-        return F.coalesce(found, F.lit(_NONE)).cast("long")
+        bucket = lambda pair: F.get(t["pairs"], (pair % BUCKETS).cast("int"))
+        after = lambda pair: F.get(bucket(pair), F.array_position(bucket(pair), pair).cast("int"))
+        return F.coalesce(-after(F.shiftleft(left, ID_BITS) + right), F.lit(_NONE).cast("long"))
 
     def fold(self, t: Column, raw: Column) -> Column:
         n = F.size(raw)
