@@ -561,9 +561,9 @@ def nms_overlap(spark, d):
     return boxes.nms(rows, ["page"], "score", "key").select("page", "key")
 
 
-def _rectangles(spark: SparkSession, d: str) -> DataFrame:
+def _rectangles(spark: SparkSession, d: str, page: str = "l_orderkey div 64") -> DataFrame:
     it = table(spark, d, "lineitem")
-    return it.select(F.expr("l_orderkey div 64").alias("page"), F.concat_ws("-", *[F.col(c).cast("string") for c in _ITEM]).alias("key"), F.col("l_extendedprice").alias("score"), (F.col("l_partkey") % 300).cast("long").alias("l"), (F.col("l_partkey") % 300 + F.col("l_quantity")).cast("long").alias("r"), (F.col("l_suppkey") * 3).cast("long").alias("t"), (F.col("l_suppkey") * 3 + 20).cast("long").alias("b"))
+    return it.select(F.expr(page).alias("page"), F.concat_ws("-", *[F.col(c).cast("string") for c in _ITEM]).alias("key"), F.col("l_extendedprice").alias("score"), (F.col("l_partkey") % 300).cast("long").alias("l"), F.rint(F.col("l_partkey") % 300 + F.col("l_quantity")).cast("long").alias("r"), (F.col("l_suppkey") * 3).cast("long").alias("t"), (F.col("l_suppkey") * 3 + 20).cast("long").alias("b"))
 
 
 @query(_greedy_sql("score DESC, key", "abs(z['l'] - b.l) <= 9 AND abs(z['t'] - b.t) <= 9"))
@@ -630,7 +630,7 @@ _RECT_SQL = "SELECT l_orderkey % 500 AS page, concat_ws('-', l_orderkey, l_linen
 
 @query(f"SELECT page, min(score) AS score FROM ({_RECT_SQL}) WHERE l < 150 AND 150 < r AND t < 100 AND 100 < b GROUP BY page")
 def point_in_box(spark, d):
-    return _rectangles(spark, d).where("l < 150 and 150 < r and t < 100 and 100 < b").groupBy("page").agg(F.min("score").alias("score"))
+    return _rectangles(spark, d, "l_orderkey % 500").where("l < 150 and 150 < r and t < 100 and 100 < b").groupBy("page").agg(F.min("score").alias("score"))
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events), g AS (SELECT *, sum(CASE WHEN prev THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS grp

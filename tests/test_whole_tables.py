@@ -134,3 +134,17 @@ def test_bearings_equal_a_library(spark):
     want = dict(zip(names, np.linalg.lstsq(m, v, rcond=None)[0], strict=True))
     got = {r.unknown: r.x for r in catalogue.QUERIES["wls_bearings"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_point_in_box_of_larger_and_odd_tables(spark, tmp_path):
+    """sf0.001 has no box at the point, so the comparison there is of two empty results."""
+    import duckdb
+
+    odd = read("lineitem").head(6).assign(l_orderkey=[7, 507, 64, 563, -3, 1], l_partkey=[140, 440, 149, 149, 149, 148], l_suppkey=30, l_quantity=[20.0, 30.0, 1.6, 1.4, 9.0, 2.5], l_extendedprice=[5.0, 4.0, 3.0, 2.0, 1.0, np.nan])
+    odd.to_parquet(tmp_path / "lineitem.parquet")
+    for folder in ("/root/testdata/sf0.01", str(tmp_path)):
+        con = duckdb.connect()
+        con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet'")
+        want = con.execute(catalogue.SQL["point_in_box"]).fetchall()
+        got = catalogue.QUERIES["point_in_box"](spark, folder).select("page", "score").collect()
+        assert want and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
