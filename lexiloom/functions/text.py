@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entities and their characters; the ampersand comes last.
@@ -74,15 +76,54 @@ def normalise_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
-def normalise_udf():
-    """normalise_with_map as a Column function; made on call, as workers import this module without a session."""
+class _Spelling(dict):
+    """What each character becomes, for str.translate, and the length of that; filled as characters are met."""
 
-    @F.pandas_udf("struct<norm string, places array<int>>")
-    def normalise(text: pd.Series) -> pd.DataFrame:
-        got = [normalise_with_map(t or "") for t in text]
-        return pd.DataFrame({"norm": [g[0] for g in got], "places": [g[1] for g in got]})
+    def __init__(self):
+        super().__init__()
+        self.sizes = np.zeros(0x110000, np.uint8)
 
-    return normalise
+    def __missing__(self, code: int) -> str:
+        norm = self[code] = normalise_with_map(chr(code))[0]
+        self.sizes[code] = len(norm)
+        return norm
+
+    def places(self, text: str) -> np.ndarray:
+        """The source places of text.translate(self), which must come first."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.repeat(np.arange(len(codes), dtype=np.int32), self.sizes[codes])
+
+
+#: Characters of normalised text in a batch that goes back to the JVM; a longer text is a batch of its own. Rows in a batch that comes in.
+NORM_CHARS, NORM_ROWS = 1 << 21, 1000
+
+
+def normalise_texts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, norm and places of normalise_with_map, null as empty. What a task holds beside the texts that come in is bounded: places are
+    arrays of numbers, and rows go back in batches of bounded length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Spelling()
+
+        def out(keys: pa.Array, norms: list[str], places: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([keys, pa.array(norms, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places)))], [key, "norm", "places"])
+
+        for batch in batches:
+            low, norms, places, size = 0, [], [], 0
+            for i, t in enumerate(batch.column(1)):
+                whole = t.as_py() or ""
+                norms.append(whole.translate(table))
+                places.append(table.places(whole))
+                size += len(norms[-1])
+                if size >= NORM_CHARS or i + 1 == batch.num_rows:
+                    yield out(batch.column(0)[low : i + 1], norms, places)
+                    low, norms, places, size = i + 1, [], [], 0
+        pa.default_memory_pool().release_unused()
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NORM_ROWS))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key), F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {kind}, norm string, places array<int>")
 
 
 def strip_tags_with_map(text: str) -> tuple[str, list[int]]:

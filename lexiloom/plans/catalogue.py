@@ -273,8 +273,8 @@ def paragraph_split(spark, d):
 @query()
 def normalize_with_map(spark, d):
     """The exact normaliser, with the source place of each character, on whole texts."""
-    got = table(spark, d, "documents").select("doc_id", text.normalise_udf()("text").alias("n"))
-    return got.select("doc_id", F.md5("n.norm").alias("digest"), F.size("n.places").alias("n"))
+    got = text.normalise_texts(table(spark, d, "documents"), "doc_id")
+    return got.select("doc_id", F.md5("norm").alias("digest"), F.size("places").alias("n"))
 
 
 # ---- joins ------------------------------------------------------------------------------------------------------------

@@ -148,3 +148,14 @@ def test_point_in_box_of_larger_and_odd_tables(spark, tmp_path):
         want = con.execute(catalogue.SQL["point_in_box"]).fetchall()
         got = catalogue.QUERIES["point_in_box"](spark, folder).select("page", "score").collect()
         assert want and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_normaliser_sends_bounded_batches(spark, monkeypatch):
+    """Places as numbers, in batches of bounded length, whatever the length of the texts; equal to the plain rule."""
+    from lexiloom.functions import text
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string").coalesce(1)
+    for chars in (1, 1000, text.NORM_CHARS):
+        monkeypatch.setattr(text, "NORM_CHARS", chars)
+        got = {r.id: (r.norm, r.places) for r in text.normalise_texts(rows, "id", "body").collect()}
+        assert got == {i: text.normalise_with_map(t or "") for i, t in enumerate(texts)}
