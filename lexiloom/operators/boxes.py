@@ -5,6 +5,8 @@ A boxes table has page_no, box_no (the order), chr, style, var, degenerate, corr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +89,128 @@ def near_pairs(rows: DataFrame, key: str, vector: str, eps: float, blocks: int =
     return spread.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
+#: Vectors that every other one is compared with first, and vectors of a block.
+HUB, BLOCK = 1 << 12, 1 << 14
+
+
+def _close(x: np.ndarray, v: np.ndarray, eps: float) -> np.ndarray:
+    """Places in x (rows of numbers) whose mean absolute difference from v is under eps. Plain sums decide but for those near the limit,
+    which are added up anew in 64 bits, in order."""
+    sums = np.abs(x - v).sum(axis=1)
+    limit, n = eps * x.shape[1], x.shape[1]
+    slack = 1e-6 * n * (1 + limit)
+    sure, doubt = sums < limit - slack, np.flatnonzero(np.abs(sums - limit) <= slack)
+    if len(doubt):
+        sure[doubt] = np.cumsum(np.abs(x[doubt].astype(np.float64) - v.astype(np.float64)), axis=1)[:, -1] / n < eps
+    return np.flatnonzero(sure)
+
+
+def _grown(x: np.ndarray, keys: np.ndarray, eps: float) -> np.ndarray:
+    """The first row of each row's component, by search: a row that is reached is not compared again. Rows of one key are not linked."""
+    comp, rest = np.full(len(x), -1), np.arange(len(x))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        comp[first], todo = first, [first]
+        while todo and len(rest):
+            i = todo.pop()
+            hit = _close(x[rest], x[i], eps)
+            hit = hit[keys[rest[hit]] != keys[i]]
+            found = rest[hit]
+            comp[found] = first
+            todo += found.tolist()
+            rest = np.delete(rest, hit)
+    return comp
+
+
+def near_links(rows: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
+    """Pairs (a, b) that connect what all links connect, those of mean absolute difference under eps; null vectors have none. A pair
+    need not be a link itself: a component that a task knows is a star, so that labels spread over it in one step.
+
+    A hub of HUB rows is searched whole, and its largest component is the core. Each other row is compared with the core until one link
+    is found. Rows without one, the rest, are compared with all rows, blocks of them with blocks: a link that isn't looked for has both
+    its ends in the core's component. So the work is that of all pairs only if no large component exists."""
+    from .stats import checkpointed
+
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    array = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    table = rows.select(F.col(key).alias("k"), F.col(vector).cast(array).alias("v")).where("k is not null and v is not null")
+    order = F.xxhash64("k", "v")
+    hub = table.orderBy(order, "k").limit(HUB).toPandas()
+    if not len(hub):
+        return spark.createDataFrame([], f"a {kind}, b {kind}")
+    matrix = lambda v: np.stack(v.to_numpy()).astype(np.float32 if array == "array<float>" else np.float64)
+    x, keys = matrix(hub["v"]), hub["k"].to_numpy()
+    comp = _grown(x, keys, eps)
+    core = np.flatnonzero(comp == np.bincount(comp).argmax())
+    inner = {x[i].tobytes() + str(keys[i]).encode() for i in core}
+    centre = keys[core].min()
+    shared = spark.sparkContext.broadcast((x[core], keys[core], inner, centre))
+
+    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row, whether it is of the core, and the core's least key if it is or has a link to the core; null for the rest."""
+        cx, ck, own, centre = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            to, inside = [], []
+            for k, v in zip(batch["k"], matrix(batch["v"]), strict=True):
+                inside.append(v.tobytes() + str(k).encode() in own)
+                to.append(centre if inside[-1] else None)
+                for low in range(0, 0 if inside[-1] else len(cx), 512):
+                    hit = _close(cx[low : low + 512], v, eps)
+                    hit = hit[ck[low : low + 512][hit] != k]
+                    if len(hit):
+                        to[-1] = centre
+                        break
+            yield pd.DataFrame({"k": batch["k"].to_numpy(), "v": batch["v"], "core": inside, "link": pd.Series(to, dtype=object)})
+
+    sought = checkpointed(table.mapInPandas(seek, f"k {kind}, v {array}, core boolean, link {kind}").withColumn("rest", F.expr("link is null")))
+    n, left = sought.agg(F.count(F.lit(1)), F.count_if("rest")).first()
+    linked = sought.where("link is not null and link <> k").select(F.col("k").alias("a"), F.col("link").alias("b"))
+    if not left:
+        return linked
+    wide = max(-(-n // BLOCK), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    high = -(-left // BLOCK)
+    spread = lambda m: F.pmod(order, F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rest = sought.where("rest").select("k", "v", "rest", F.lit(0).alias("side"), spread(high).alias("i"), every(wide).alias("j"))
+    all_ = sought.select("k", "v", "rest", F.lit(1).alias("side"), spread(wide).alias("j"), every(high).alias("i")).select("k", "v", "rest", "side", "i", "j")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        """The components within the rest that this block shows, as stars, and the core's least key for rows with a link to what has it."""
+        a, b = group[group["side"] == 0], group[group["side"] == 1]
+        out: list[tuple] = []
+        if len(a) and len(b):
+            bx, bk, open_ = matrix(b["v"]), b["k"].to_numpy(), b["rest"].to_numpy()
+            root: dict = {}
+
+            def find(z):
+                while root.setdefault(z, z) != z:
+                    root[z] = root[root[z]]
+                    z = root[z]
+                return z
+
+            for k, v in zip(a["k"], matrix(a["v"]), strict=True):
+                hit = _close(bx, v, eps)
+                hit = hit[bk[hit] != k]
+                out += [] if open_[hit].all() else [(k, shared.value[3])]
+                for h in bk[hit[open_[hit]]]:
+                    p, q = find(k), find(h)
+                    root[max(p, q)] = min(p, q)
+            out += [(z, find(z)) for z in list(root) if find(z) != z]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    met = rest.unionByName(all_).groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
+    return linked.union(met)
+
+
+def near_components(rows: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
+    """node and comp, the least key of its component, of all rows that have another within eps."""
+    from .stats import components
+
+    return components(near_links(rows, key, vector, eps))
+
+
 def nms(rows: DataFrame, by: list[str], score: str, key: str, share: float = 0.25) -> DataFrame:
     """Greedy by falling score: a box goes if it overlaps a kept one by more than share of the smaller area. Ties: t, l, key."""
 

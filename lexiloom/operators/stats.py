@@ -87,15 +87,20 @@ def coverage_sample(units: DataFrame, unit: str, item: str, quota: int, seed: in
     return units.select(unit, item).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= quota).select(unit).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and comp, the least node of its component: minimum labels with pointer jumping, checkpointed each round, until no label
-    changes."""
-    spark = edges.sparkSession
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows, kept in the shared folder named in spark.checkpoint.dir."""
+    spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
+    return rows.checkpoint()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and comp, the least node of its component: minimum labels with pointer jumping, checkpointed each round, until no label
+    changes."""
+    both = checkpointed(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct())
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))

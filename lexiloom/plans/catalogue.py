@@ -537,7 +537,7 @@ def dbscan_1d(spark, d):
 WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) / 64 < 0.112),
 r AS (SELECT a AS node, a AS reach FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.reach = p.a) SELECT node, min(reach) AS comp FROM r GROUP BY node""")
 def dbscan_nd(spark, d):
-    return stats.components(boxes.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.112, blocks=4))
+    return boxes.near_components(table(spark, d, "embeddings"), "vec_id", "embedding", 0.112)
 
 
 #: Pages of 64 order numbers, so that a page has no more boxes at a larger scale.

@@ -154,8 +154,38 @@ def test_normaliser_sends_bounded_batches(spark, monkeypatch):
     """Places as numbers, in batches of bounded length, whatever the length of the texts; equal to the plain rule."""
     from lexiloom.functions import text
 
+    texts = [None, "", "Æſß éÉ\U0001d400 ﷺ İ́ǆ", "x" * 70_000, *("åß" * n for n in range(300)), "Σας Å²\x00퟿"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string").coalesce(1)
     for chars in (1, 1000, text.NORM_CHARS):
         monkeypatch.setattr(text, "NORM_CHARS", chars)
         got = {r.id: (r.norm, r.places) for r in text.normalise_texts(rows, "id", "body").collect()}
         assert got == {i: text.normalise_with_map(t or "") for i, t in enumerate(texts)}
+
+
+def test_near_components_equal_brute_force(spark, monkeypatch):
+    """Links between far ends of chains, islands, copies, a repeated key and a null vector; with small hubs and blocks as well."""
+    from lexiloom.operators import boxes
+
+    rng = np.random.default_rng(3)
+    points = [*np.cumsum(rng.normal(0, 0.06, (150, 3)), axis=0), *rng.normal(0, 1, (80, 3)), *rng.normal(5, 0.02, (30, 3)), *[np.ones(3) * 9] * 4, np.ones(3) * 20, np.ones(3) * 20]
+    keys = [*range(1000, 1000 - len(points) + 1, -1), 1000 - len(points) + 2]  # the last two rows have one key, and no link
+    x = np.array(points, np.float32).astype(np.float64)
+    link = (np.abs(x[:, None] - x[None]).mean(axis=2) < 0.112) & (np.array(keys)[:, None] != np.array(keys)[None])
+    comp = {k: k for k, row in zip(keys, link, strict=True) if row.any()}
+    for _ in keys:
+        for i, j in zip(*np.nonzero(link), strict=True):
+            comp[keys[i]] = comp[keys[j]] = min(comp[keys[i]], comp[keys[j]])
+    rows = spark.createDataFrame([*((k, [float(f) for f in p]) for k, p in zip(keys, x, strict=True)), (5000, None)], "id long, v array<float>")
+    for hub, block in ((4096, 1 << 14), (40, 16), (1, 1000), (300, 7)):
+        monkeypatch.setattr(boxes, "HUB", hub)
+        monkeypatch.setattr(boxes, "BLOCK", block)
+        assert dict(map(tuple, boxes.near_components(rows, "id", "v", 0.112).collect())) == comp
+    assert boxes.near_components(rows.limit(0), "id", "v", 0.112).collect() == []
+
+
+def test_near_components_hold_no_pairs(spark):
+    """Of 3000 vectors that are all alike, one link a vector is kept, not 4.5 million."""
+    from lexiloom.operators import boxes
+
+    rows = spark.range(3000).selectExpr("id", "array(cast(id as float) / 1e6f) as v")
+    assert boxes.near_links(rows, "id", "v", 0.112).count() <= 3000
