@@ -348,8 +348,8 @@ def matching_blocks(spark, d):
     """Every document that has a near copy before it, whole texts on both sides."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     pairs = joins.copy_pairs(docs, "doc_id")
-    both = pairs.join(docs.toDF("first", "a"), "first").join(docs.toDF("later", "b"), "later")
-    return lexicon.matching_blocks(both.withColumn("pair", F.concat_ws("-", F.col("first").cast("string"), F.col("later").cast("string"))), "pair")
+    both = joins.with_texts(stats.checkpointed(pairs), docs, "doc_id", "text")
+    return lexicon.matching_blocks(both.withColumn("pair", F.concat_ws("-", F.col("first").cast("string"), F.col("later").cast("string"))), "pair", spread=False)
 
 
 # ---- counts and statistics --------------------------------------------------------------------------------------------

@@ -189,3 +189,18 @@ def test_near_components_hold_no_pairs(spark):
 
     rows = spark.range(3000).selectExpr("id", "array(cast(id as float) / 1e6f) as v")
     assert boxes.near_links(rows, "id", "v", 0.112).count() <= 3000
+
+
+def test_copy_pairs_behind_unlike_holders(spark):
+    """Near copies whose every shingle is held by earlier, unlike rows, at depths in and beyond the first windows."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    lines = [" ".join(word() for _ in range(12)) for _ in range(4)]
+    texts = [f"{lines[i % 4]} {' '.join(word() for _ in range(60))}" for i in range(100)]
+    texts += [" ".join(lines), " ".join(lines) + " end", "start " + " ".join(lines), None, " ".join(lines[:2])]
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    want = sorted((min(hits), b) for b in range(len(texts)) if sets[b] and (hits := [a for a in range(b) if sets[a] and near(a, b)]))
+    assert want == [(100, 101), (100, 102)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    assert sorted(map(tuple, joins.copy_pairs(df, "id", "body").select("first", "later").collect())) == want
